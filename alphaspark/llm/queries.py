@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
+from .html_extract import extract_pages
+from .license_scan import scan_licenses
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .quality import score_quality
 from .substring_dedup import substring_dedup
+from .telephony import describe_media, encode_texts
 from .url_filter import filter_urls, url_host, url_segment
 
 
@@ -50,10 +55,31 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(captures, url_changes(captures)).select("page_id", "url", "host", F.col("fetched_on").cast("string").alias("fetched_on"), "rule", "category", "blocked")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"), threshold=0.3)
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PCM at 16 kHz is made and digested in ``feature``; as a column it would be four times the texts."""
+    return describe_media(encode_texts(table(spark, sf_dir, "documents")), keep_pcm=False).drop("pcm")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     first = F.round(F.try_element_at("positions", F.lit(1)), 6).alias("first_position")
@@ -70,5 +96,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_minhash_near_dedup, op8_source_mixing, op9_substring_dedup, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_benchmark_decontamination,
+        op3_minhash_near_dedup,
+        op4_quality_classifier,
+        op5_license_scans,
+        op6_html_extraction,
+        op7_telephony_audio,
+        op8_source_mixing,
+        op9_substring_dedup,
+        op10_line_dedup,
+    )
 }
