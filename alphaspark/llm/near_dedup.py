@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WordHasher, chunks, mix, signed, staged
@@ -16,8 +16,8 @@ from .components import connected_components
 #: Both ends of 64 permutations: 128 values, 32 bands of 4.  A pair at similarity 0.8 shares no band
 #: with probability (1 - 0.8**4)**32 = 5e-8.
 PERMUTATIONS, BAND_ROWS = 64, 4
-#: Members of a bucket that are compared with all others in a round: first one, then four, ...
-PIVOTS = (1, 4, 16, 64, 256, 1024)
+#: Unlinked members, and members they are held against, that one call compares.
+BLOCK, CHUNK = 256, 512
 _STEP = 2048
 
 
@@ -89,6 +89,32 @@ def _sets(width: int):
     return run
 
 
+def _compare(percent: int):
+    """(left: unlinked members x, right: members y) of one group part -> links (a, b) between components."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        xs, xc, xs_sets = left["x"].to_numpy(), left["component"].to_numpy(), left["shingles"].combine_chunks()
+        ys, yc, ys_sets = right["y"].to_numpy(), right["component"].to_numpy(), right["shingles"].combine_chunks()
+        a, b = [], []
+        if len(xs) and len(ys):
+            lengths = np.diff(xs_sets.offsets.to_numpy())
+            keys, owners = xs_sets.flatten().to_numpy(), np.repeat(np.arange(len(xs)), lengths)
+            order = np.argsort(keys, kind="stable")
+            keys, owners = keys[order], owners[order]
+            for y, c, own in zip(ys, yc, ys_sets, strict=True):
+                own = own.values.to_numpy()
+                lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+                count = hi - lo
+                at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                both = np.bincount(owners[at], minlength=len(xs))
+                near = np.flatnonzero((100 * both >= percent * (lengths + len(own) - both)) & (xc != c) & (xs != y))
+                a += [y] * len(near)
+                b += xs[near].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -96,16 +122,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     ``width``-word shingles have 100 * intersection >= percent * union; component_id is the smallest doc_id reachable.
 
     Documents of one set are a class, known by a 128-bit digest; its smallest doc_id stands for it.  Classes go
-    into one bucket a band.  No bucket is expanded into pairs: a member is compared with its bucket's smallest
-    ("pivot"), links are confirmed on full sets and joined into components, and only members that are not yet in
-    their pivot's component are compared with further pivots, in growing numbers, until each bucket is one component
-    or every member has been a pivot.  So every pair that shares a band is either compared or already connected.
+    into one bucket a band.  No bucket is expanded into pairs.  Its pivot, the member that shares most buckets with most
+    others, is compared with every member on full sets, and links are joined into components.  Two members that
+    aren't connected by then include one outside their pivot's component; those few are compared with the pivot's
+    other members in blocks, which give only the links.  So every pair that shares a band is compared or connected.
 
     Null or empty texts, and texts of white space: the empty set, n_shingles 0, linked with nothing.  Fewer words
     than ``width``: one shingle.  Rows that repeat a doc_id with the same text are classmates; a doc_id with several
     texts is one node, linked by each of them.  Null ids: kept alone, component_id null.  No rows: no rows.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kinds = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"
     sketches = staged(texts.mapInArrow(_sketches(width, perms, band_rows), kinds), "sketches")
@@ -114,50 +139,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     of_class = full.join(classes, ["c1", "c2"])
     copies = of_class.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     placed = of_class.where("doc_id = node").select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last").select("bucket")
-    buckets = staged(placed.join(shared, "bucket", "left_semi").distinct(), "buckets")
-
-    wanted = buckets.select("node").distinct().withColumnRenamed("node", "__node")
+    shared = staged(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket", "size"), "shared")
+    buckets = staged(placed.join(shared, "bucket"), "buckets")
+
+    # One row for each pivot and member; the pivot is the heaviest member, and the smallest of equals.
+    weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = buckets.join(weights, "node").select("bucket", "node", "n", "weight")
+    pivots = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"), "n")).alias("p"))
+    stars = staged(buckets.join(staged(pivots.select("bucket", (-F.col("p.less")).alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots"), "bucket").select("pivot", "pivot_n", "node", "n").where("pivot != node").distinct(), "stars")
+    wanted = stars.select("node").union(stars.select("pivot")).distinct().withColumnRenamed("node", "__node")
     sets = staged(texts.join(wanted, F.col("doc_id") == F.col("__node"), "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "sets")
-
-    links, groups = copies, None
-    left = buckets.withColumn("component", F.col("node"))
-    for turn in range(1 << 30):
-        take = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        pivots = left.groupBy("bucket").agg(F.min(F.struct("node", "n", "component")).alias("p")).select("bucket", F.array("p").alias("ps")) if take == 1 else _smallest(left, take)
-        pairs = (
-            left.join(pivots, "bucket")
-            .select("node", "n", "component", F.explode("ps").alias("p"))
-            .where(f"node > p.node AND component != p.component AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-            .select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-            .distinct()
-        )
-        with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        found = staged(with_sets.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
-        rest = left.join(pivots, "bucket").where(~F.array_contains(F.col("ps.node"), F.col("node"))).select("bucket", "node", "n")
-        links = links.union(found)
-        if groups is None or found.head(1):
-            groups = connected_components(links)
-            # Components need no more than their stars from here on.
-            links = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        known = rest.join(groups.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("component"))
-        split = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        left = staged(known.join(split, "bucket", "left_semi"), "left")
-        if not left.head(1):
-            break
-    group = groups.select(F.col("node").alias("__node"), "component")
+    pairs = stars.where(f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)").select("pivot", "node").distinct()
+    with_sets = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sa")), "pivot").join(sets.withColumnRenamed("shingles", "sb"), "node")
+    both = F.size(F.array_intersect("sa", "sb"))
+    linked = with_sets.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+    links = staged(copies.union(linked.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "links")
+    groups = connected_components(links)
+
+    # Groups (pivot and members) whose members besides the pivot are in several components.
+    known = groups.withColumnRenamed("node", "__n")
+    members = stars.select("pivot", "node").distinct().join(known.withColumnRenamed("component", "c"), F.col("node") == F.col("__n"), "left").select("pivot", "node", F.coalesce("c", "node").alias("component"))
+    members = members.join(known.withColumnRenamed("component", "pc"), F.col("pivot") == F.col("__n"), "left").select("pivot", "node", "component", F.coalesce("pc", "pivot").alias("own"))
+    members = staged(members, "members")
+    open_ = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum((F.col("component") != F.col("own")).cast("long")).alias("outside")).where("lo != hi AND outside > 0")
+    open_ = staged(open_.select(F.col("pivot").alias("group"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks")), "open")
+    grouped = members.join(open_, F.col("pivot") == F.col("group"))
+    left = grouped.where("component != own").select("group", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"), F.col("node").alias("x"), "component")
+    # As many chunks as a group has members for; each meets each block of its unlinked members.
+    sizes = staged(grouped.groupBy("group", "blocks").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "sizes")
+    right = (
+        members.join(sizes, F.col("pivot") == F.col("group"))
+        .select("group", "blocks", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks").cast("long")).alias("chunk"), F.col("node").alias("y"), "component")
+        .join(sets.withColumnRenamed("node", "__n"), F.col("y") == F.col("__n"))
+        .select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "chunk", "y", "component", "shingles")
+    )
+    left = (
+        left.join(sizes.select("group", "chunks"), "group")
+        .join(sets.withColumnRenamed("node", "__n"), F.col("x") == F.col("__n"))
+        .select("group", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "x", "component", "shingles")
+    )
+    key = ["group", "block", "chunk"]
+    left, right = (df.select([F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # fresh names: both come from the same tables
+    more = staged(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_compare(percent), "a long, b long").distinct(), "more")
+    if more.head(1):
+        stars_now = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = connected_components(stars_now.union(more))
+
+    found = groups.select(F.col("node").alias("__node"), "component")
     return (
-        sketches.select("doc_id", "n_shingles").join(group, F.col("doc_id") == F.col("__node"), "left")
+        sketches.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("__node"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
-
-
-def _smallest(left: DataFrame, take: int) -> DataFrame:
-    """The ``take`` smallest members of each bucket; a bucket's rows are first dealt out by a hash and
-    reduced there, so none of the sorts holds more than a share of a large bucket."""
-    dealt = left.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
-    near = dealt.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("node", "n"))).where(F.col("r") <= take)
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node", "n"))).where(F.col("r") <= take)
-    return best.groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "component")).alias("ps"))
