@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     pivots = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"), "n")).alias("p"))
     stars = staged(buckets.join(staged(pivots.select("bucket", (-F.col("p.less")).alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots"), "bucket").select("pivot", "pivot_n", "node", "n").where("pivot != node").distinct(), "stars")
     wanted = stars.select("node").union(stars.select("pivot")).distinct().withColumnRenamed("node", "__node")
-    sets = staged(texts.join(wanted, F.col("doc_id") == F.col("__node"), "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "sets")
+    sets = staged(texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("__node"), "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "sets")
     pairs = stars.where(f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)").select("pivot", "node").distinct()
     with_sets = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sa")), "pivot").join(sets.withColumnRenamed("shingles", "sb"), "node")
     both = F.size(F.array_intersect("sa", "sb"))
