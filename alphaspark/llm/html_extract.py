@@ -123,7 +123,7 @@ def parse(page: str) -> Node:
                 if name in INLINE and open_[i][0] not in INLINE:
                     break
             continue
-        if name in RAW and not raw.endswith("/"):
+        if name in RAW:
             stop = re.compile(f"</{re.escape(name)}", re.I).search(page, pos)
             pos = stop.start() if stop else n
             after = page.find(">", pos)
@@ -150,16 +150,14 @@ def parse(page: str) -> Node:
             at.tags += 1
         elif name in INLINE:
             at.tags += 1
-            if not raw.endswith("/"):
-                open_.append((name, at))
-                links += name == "a"
+            open_.append((name, at))
+            links += name == "a"
         else:
             bits, mark = attribute_groups(raw) if raw.strip() else (0, "")
             node = Node(name, at, bits, mark)
             at.kids.append(node)
-            if not raw.endswith("/"):
-                open_.append((name, at))
-                at = node
+            open_.append((name, at))
+            at = node
     return root
 
 
@@ -226,26 +224,18 @@ def node_features(root: Node) -> tuple[list[Node], np.ndarray]:
 
 
 def decode_tree(nodes: list[Node], scores: np.ndarray) -> dict[int, int]:
-    """The likeliest consistent states, by id(node): below boilerplate all is boilerplate, below content nothing is
-    mixed; below a mixed node all goes.  Best sums from the leaves up, choices from the root down."""
-    best: dict[int, list[float]] = {}
-    for x, s in zip(reversed(nodes), scores[::-1], strict=True):
-        c, b, m = float(s[0]), float(s[1]), float(s[2])
-        for k in x.kids:
-            if type(k) is Node:
-                kc, kb, km = best[id(k)]
-                c += max(kc, kb)
-                b += kb
-                m += max(kc, kb, km)
-        if x.tag in HIDDEN or x.mark == "hidden":
-            c, m = -np.inf, -np.inf
-        best[id(x)] = [c, b, m]
+    """States by id(node), from the root down and without contradictions: below boilerplate all is boilerplate, below content
+    nothing is mixed; below a mixed node all goes.  A node's shares are given that what holds it isn't
+    boilerplate, so the choice at each node is the likeliest of those that its parent's state leaves."""
     state: dict[int, int] = {}
-    for x in nodes:
-        c, b, m = best[id(x)]
+    for x, s in zip(nodes, scores.tolist(), strict=True):
         up = state[id(x.up)] if x.up else MIXED
-        allowed = ((c, CONTENT), (b, BOILERPLATE), (m, MIXED)) if up == MIXED else ((c, CONTENT), (b, BOILERPLATE)) if up == CONTENT else ((b, BOILERPLATE),)
-        state[id(x)] = max(allowed, key=lambda y: (y[0], -y[1]))[1]
+        if up == BOILERPLATE or x.tag in HIDDEN or x.mark == "hidden":
+            state[id(x)] = BOILERPLATE
+        elif up == CONTENT:
+            state[id(x)] = CONTENT if s[CONTENT] >= s[BOILERPLATE] else BOILERPLATE
+        else:
+            state[id(x)] = max((CONTENT, BOILERPLATE, MIXED), key=lambda k: (s[k], -k))
     return state
 
 
@@ -290,7 +280,7 @@ def extract(pages: list[str], forest: Forest) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(n_pages: int = 500, rounds: int = 30, seed: int = 5) -> Forest:
+def trained(n_pages: int = 700, rounds: int = 30, seed: int = 5) -> Forest:
     """A forest trained on ``n_pages`` made-up pages whose parts are known (see page_maker)."""
     from .page_maker import make_page
 
@@ -301,8 +291,9 @@ def trained(n_pages: int = 500, rounds: int = 30, seed: int = 5) -> Forest:
         state: dict[int, int] = {}
         for x in nodes:
             state[id(x)] = {"c": CONTENT, "b": BOILERPLATE, "m": MIXED}[x.mark] if x.mark in ("c", "b", "m") else state[id(x.up)] if x.up else MIXED
-        xs.append(f)
-        ys.append(np.array([state[id(x)] for x in nodes]))
+        open_ = np.array([x.up is None or state[id(x.up)] != BOILERPLATE for x in nodes])
+        xs.append(f[open_])
+        ys.append(np.array([state[id(x)] for x in nodes])[open_])
     return fit_forest(np.concatenate(xs), np.concatenate(ys), 3, rounds=rounds)
 
 
@@ -318,9 +309,9 @@ def _extract(forest: Forest):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html).
 
-    The whole html is parsed; each block element gets a share for content, boilerplate and mixed from the forest; the
-    likeliest states without contradictions along every path are taken, and the blocks of content nodes are
-    joined by newlines.  Null or empty html, and pages without content: empty text.  Other columns don't matter,
+    The whole html is parsed; each block element gets a share for content, boilerplate and mixed from the forest; states
+    without contradictions are chosen from the root down, and the blocks of content nodes are joined by
+    newlines.  Null or empty html, and pages without content: empty text.  Other columns don't matter,
     repeated rows are treated one by one, no rows give no rows.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")

@@ -80,9 +80,12 @@ def boilerplate(r: np.random.Generator, inside: bool = False) -> str:
         "footer": lambda: f'<footer{y}{_attrs(r, "footer", "site-footer")}>&copy; {words(r, 1, 3)} &middot; {sentences(r, 1, 4)}',
         "foot_div": lambda: f'<div{y} {_pick(r, "id", "class")}="{_pick(r, "footer", "copyright", "legal", "site-footer")}"><p>&copy; {words(r, 1, 3)} {sentences(r, 1, 3)}</p>',
         "sidebar": lambda: f'<{_pick(r, "aside", "div")}{y} {_pick(r, "id", "class")}="{_pick(r, "sidebar", "side", "widget-area", "rail", "secondary sidebar")}"><h3>{words(r, 1, 3)}</h3><p>{sentences(r, 1, 4)}</p>{link_list(r) if r.random() < 0.7 else ""}',
+        "bare_header": lambda: f'<header{y}><a href="/">{words(r, 1, 4)}</a>',
+        "line": lambda: f'<p{y} class="{_pick(r, "notice", "ad", "copyright", "meta", "share", "cookie", "warning", "sponsored")}">{sentences(r, 1, 2)}',
+        "nested": lambda: f'<div{y} {_pick(r, "id", "class")}="{_pick(r, "header", "footer", "sidebar", "comments", "nav", "notice", "ads", "login-form")}"><div{_attrs(r, "inner", "container", "wrap")}><p>{sentences(r, 1, 5)}</p></div><p>{words(r, 1, 6)}</p>',
         "aside": lambda: f"<aside{y}><h4>{words(r, 1, 3)}</h4><p>{sentences(r, 1, 3)}</p>",
     }
-    name = _pick(r, *(("ad", "share", "related", "notice", "comments", "byline", "form", "nav", "aside") if inside else tuple(kinds)))
+    name = _pick(r, *(("ad", "share", "related", "notice", "comments", "byline", "form", "nav", "aside", "line") if inside else tuple(kinds)))
     made = kinds[name]()
     tag = made[1 : made.index(" ")]
     return f"{made}</{tag}>"
