@@ -57,11 +57,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         .withColumn("again", F.lag("k1").over(order) == F.col("k1"))
         .where((F.col("nth") <= min_docs) & ~F.coalesce("again", F.lit(False)))
     )
-    spread = (
+    # Staged, so that the join below stands on two plain exchanges, whose hot hashes Spark can split.
+    spread = staged(
         first.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("first"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", *([F.col("first")] if keep == "first" else []))
+        .select("h1", "h2", *([F.col("first")] if keep == "first" else [])),
+        "spread",
     )
     gone = seen.join(spread, ["h1", "h2"], "inner" if keep == "first" else "left_semi")
     if keep == "first":
