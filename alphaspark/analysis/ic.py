@@ -23,8 +23,7 @@ def forward_returns(panel: DataFrame, periods: Sequence[int] = (1, 5, 10), price
 
 def safe_corr(x: Column, y: Column) -> Column:
     """Correlation as an aggregate; NULL where one side is constant."""
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(spread > TINY, F.covar_pop(x, y) / spread)
+    return F.when((F.max(x) > F.min(x)) & (F.max(y) > F.min(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def daily_ic(df: DataFrame, factor: str = "factor", ret: str = "ret", method: str = "spearman", axes: Axes = AXES, min_names: int = MIN_NAMES) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from .axes import AXES, Axes, finite
@@ -118,10 +118,13 @@ def _pairs_ok(value: Column, x: Column, n: int, axes: Axes, min_pairs: int) -> C
 
 def corr(x: Column, y: Column, n: int, axes: Axes = AXES, min_pairs: int = 3) -> Column:
     """Pearson over a full window; NULL where one side is constant, or with fewer than ``min_pairs`` complete pairs."""
-    x, y = _pair(x, y)
-    w = axes.rows(n)
-    spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
-    return _pairs_ok(F.when(spread > TINY, F.covar_pop(x, y).over(w) / spread), x, n, axes, min_pairs)
+    return _pairs_ok(corr_over(*_pair(x, y), axes.rows(n)), _pair(x, y)[0], n, axes, min_pairs)
+
+
+def corr_over(x: Column, y: Column, w: WindowSpec) -> Column:
+    """Of columns that are missing together; constant means equal extremes, whatever rounding does to the deviation."""
+    varied = (F.max(x).over(w) > F.min(x).over(w)) & (F.max(y).over(w) > F.min(y).over(w))
+    return F.when(varied, F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)))
 
 
 def cov(x: Column, y: Column, n: int, axes: Axes = AXES, min_pairs: int = 3) -> Column:
@@ -133,8 +136,8 @@ def beta(x: Column, y: Column, n: int, axes: Axes = AXES, min_pairs: int = 3) ->
     """Slope of y on x over a full window."""
     x, y = _pair(x, y)
     w = axes.rows(n)
-    spread = F.var_pop(x).over(w)
-    return _pairs_ok(F.when(spread > TINY, F.covar_pop(x, y).over(w) / spread), x, n, axes, min_pairs)
+    value = F.when(F.max(x).over(w) > F.min(x).over(w), F.try_divide(F.covar_pop(x, y).over(w), F.var_pop(x).over(w)))
+    return _pairs_ok(value, x, n, axes, min_pairs)
 
 
 def ts_rank(x: Column, n: int, axes: Axes = AXES) -> Column:
@@ -193,7 +196,9 @@ def ewm(x: Column, alpha: float, adjust: bool = False, axes: Axes = AXES) -> Col
     """
     if not 0 < alpha <= 1:
         raise ValueError(f"alpha must be in (0, 1], not {alpha}")
-    rows = 1 if alpha == 1 else math.ceil(math.log(1e-16) / math.log(1 - alpha))
+    if alpha == 1:
+        return F.last(x, ignorenulls=True).over(axes.so_far())
+    rows = math.ceil(math.log(1e-16) / math.log(1 - alpha))
     start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("o"))
 
     def step(s: Column, v: Column) -> Column:
@@ -246,4 +251,4 @@ def cumulative(x: Column, axes: Axes = AXES) -> Column:
     return F.sum(x).over(axes.so_far())
 
 
-__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "math", "F", "Column", "AXES", "Axes", "finite", "TINY")]
+__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "math", "F", "Column", "AXES", "Axes", "WindowSpec", "finite", "TINY")]

@@ -120,8 +120,7 @@ def partial_pair(name: str, x: Column, y: Column, n: int, axes: Axes) -> Column:
     w = axes.rows(n)
     if name == "cov":
         return F.covar_samp(xm, ym).over(w)
-    spread = F.stddev_pop(xm).over(w) * F.stddev_pop(ym).over(w)
-    return F.when(spread > rolling.TINY, F.covar_pop(xm, ym).over(w) / spread)
+    return rolling.corr_over(xm, ym, w)
 
 
 def reach(node: Node) -> int:

@@ -67,8 +67,12 @@ def pct(x: str) -> str:
 
 def corr_sql(x: str, y: str, n: int, least: int) -> str:
     """Of columns that are missing together."""
-    spread = f"stddev_pop({x}) {w(n)} * stddev_pop({y}) {w(n)}"
-    return full(f"CASE WHEN count({x}) {w(n)} >= {least} AND {spread} > 1e-12 THEN covar_pop({x}, {y}) {w(n)} / ({spread}) END", n)
+    return full(f"CASE WHEN count({x}) {w(n)} >= {least} THEN {partial_corr_sql(x, y, n)} END", n)
+
+
+def partial_corr_sql(x: str, y: str, n: int) -> str:
+    varied = " AND ".join(f"max({c}) {w(n)} > min({c}) {w(n)}" for c in (x, y))
+    return f"CASE WHEN {varied} THEN covar_pop({x}, {y}) {w(n)} / (stddev_pop({x}) {w(n)} * stddev_pop({y}) {w(n)}) END"
 
 
 def ewm_sql(x: str, alpha: float) -> tuple[str, str]:
@@ -81,7 +85,7 @@ def chain(steps: list[tuple[str, str]], value: str, every: str = "month") -> str
     inner = "SELECT *, CASE WHEN (symbol + month(date)) % 7 = 0 THEN NULL ELSE round(close - open, 6) END AS x, volume AS y FROM bars"
     for name, expression in steps:
         inner = f"SELECT *, {expression} AS {name} FROM ({inner})"
-    return f"WITH {bars_sql(every)} SELECT date, symbol, CASE WHEN abs(v) < 1e30 THEN v::FLOAT::DOUBLE END AS value FROM (SELECT date, symbol, CAST({value} AS DOUBLE) AS v FROM ({inner}))"
+    return f"WITH {bars_sql(every)} SELECT date, symbol, CASE WHEN abs(v) < 1e30 THEN v::FLOAT::DOUBLE + 0.0 END AS value FROM (SELECT date, symbol, CAST({value} AS DOUBLE) AS v FROM ({inner}))"
 
 
 # Spark side
@@ -101,8 +105,8 @@ def with_gaps(df: DataFrame) -> DataFrame:
 
 
 def single(value: Column) -> Column:
-    """Finite values below 1e30 in single precision: sums differ between engines in their last digits."""
-    return F.when(F.abs(finite(value)) < 1e30, value.cast("float").cast("double"))
+    """Finite values below 1e30 in single precision, no negative zero: sums differ between engines in their last digits."""
+    return F.when(F.abs(finite(value)) < 1e30, value.cast("float").cast("double") + 0.0)
 
 
 def call(name: str, *args, **options) -> Callable[[], Column]:
@@ -168,7 +172,7 @@ def _ops() -> None:
     pair = [("xm", "x"), ("ym", "CASE WHEN x IS NOT NULL THEN y END")]
     spec("ts_corr", call("Corr", x, y, 8), pair, corr_sql("xm", "ym", 8, 3))
     spec("ts_cov", call("Cov", x, y, 8), pair, full(f"CASE WHEN count(xm) {w(8)} >= 3 THEN covar_samp(xm, ym) {w(8)} END", 8))
-    spec("ts_beta", call("Beta", x, y, 8), pair, full(f"CASE WHEN count(xm) {w(8)} >= 3 AND var_pop(xm) {w(8)} > 1e-12 THEN covar_pop(xm, ym) {w(8)} / var_pop(xm) {w(8)} END", 8))
+    spec("ts_beta", call("Beta", x, y, 8), pair, full(f"CASE WHEN count(xm) {w(8)} >= 3 AND max(xm) {w(8)} > min(xm) {w(8)} THEN covar_pop(xm, ym) {w(8)} / var_pop(xm) {w(8)} END", 8))
     listed = [("k", f"count(*) {w(6)}"), ("l", f"list(x) {w(6)}"), ("f", "list_filter(l, lambda v: v IS NOT NULL)")]
     spec("ts_rank", call("Ts_Rank", x, 6), listed, "CASE WHEN k = 6 AND x IS NOT NULL THEN len(list_filter(f, lambda v: v <= x)) / len(f) END")
     at = [*listed, ("p", "abs(x) % 100"), ("l2", f"list(p) {w(6)}"), ("f2", "list_sort(list_filter(l2, lambda v: v IS NOT NULL))"), ("a", "(len(f2) - 1) * p / 100"), ("lo", "CAST(floor(a) AS BIGINT)")]
@@ -203,7 +207,7 @@ def _ops() -> None:
     spec("fn_lowday", lambda: rolling.days_since_low(x(), 6), six, "CASE WHEN n = 6 AND lo IS NOT NULL THEN list_position(r, lo) - 1 END")
     spec("fn_mean_full", lambda: rolling.mean(x(), 6, min_periods=6), six, f"CASE WHEN k = 6 THEN avg(x) {w(6)} END")
     spec("fn_decaylinear_strict", lambda: rolling.decay_linear(x(), 6, missing="null"), six, "CASE WHEN n = 6 AND k = 6 THEN list_sum(list_transform(range(1, 7), lambda i: l[i] * i / 21.0)) END")
-    spec("fn_regbeta", lambda: rolling.beta(y(), x(), 6, min_pairs=6), [("xm", "x"), ("ym", "CASE WHEN x IS NOT NULL THEN y END")], full(f"CASE WHEN count(xm) {w(6)} >= 6 AND var_pop(ym) {w(6)} > 1e-12 THEN covar_pop(xm, ym) {w(6)} / var_pop(ym) {w(6)} END", 6))
+    spec("fn_regbeta", lambda: rolling.beta(y(), x(), 6, min_pairs=6), [("xm", "x"), ("ym", "CASE WHEN x IS NOT NULL THEN y END")], full(f"CASE WHEN count(xm) {w(6)} >= 6 AND max(ym) {w(6)} > min(ym) {w(6)} THEN covar_pop(xm, ym) {w(6)} / var_pop(ym) {w(6)} END", 6))
 
 
 _ops()
@@ -289,14 +293,14 @@ EXPRESSIONS: dict[str, tuple[str, list[tuple[str, str]], str]] = {
     "expr_delta": ("Delta(Log($volume), 2)", [("l", "ln(volume)")], d("l", 2)),
     "expr_rank": ("Rank($close / $open)", [("r", "close / nullif(open, 0)")], "percent_rank() OVER (PARTITION BY date ORDER BY r NULLS LAST)"),
     "expr_ts_rank": ("Ts_Rank($close, 6)", [("l", f"list(close) {w(6)}")], "(len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2) / len(l)"),
-    "expr_corr": ("Corr($close, $volume, 10)", [("s", f"stddev_pop(close) {w(10)} * stddev_pop(volume) {w(10)}")], f"CASE WHEN s > 1e-12 THEN covar_pop(close, volume) {w(10)} / s END"),
+    "expr_corr": ("Corr($close, $volume, 10)", [], partial_corr_sql("close", "volume", 10)),
     "expr_cov": ("Cov($high, $low, 10)", [], f"covar_samp(high, low) {w(10)}"),
     "expr_iif": ("Iif($close > $open, $volume, -$volume)", [], "CASE WHEN close > open THEN volume ELSE -volume END"),
     "expr_count": ("Count($close, 7)", [], f"count(close) {w(7)}"),
     "expr_math": ("Abs($close - $open) + Sign($close - $open) * Sqrt($high) + Power($low, 0.5)", [], "abs(close - open) + sign(close - open) * sqrt(high) + pow(low, 0.5)"),
     "expr_compare": ("($close >= $open) + ($high == $low) * 2", [], "(close >= open)::INT + (high = low)::INT * 2"),
     "expr_precedence": ("-1 * $close + 2 * ($open - $low) / 4 - -$high", [], "-close + 2 * (open - low) / 4 + high"),
-    "expr_alpha001": ("-1 * Corr(Rank(Delta(Sqrt($volume), 1)), Rank(($close - $open) / $open), 6)", [("l", "sqrt(volume)"), ("e", d("l", 1)), ("o", "(close - open) / nullif(open, 0)"), ("a", "percent_rank() OVER (PARTITION BY date ORDER BY e NULLS LAST)"), ("b", "percent_rank() OVER (PARTITION BY date ORDER BY o NULLS LAST)"), ("s", f"stddev_pop(a) {w(6)} * stddev_pop(b) {w(6)}")], f"CASE WHEN s > 1e-12 THEN -covar_pop(a, b) {w(6)} / s END"),
+    "expr_alpha001": ("-1 * Corr(Rank(Delta(Sqrt($volume), 1)), Rank(($close - $open) / $open), 6)", [("l", "sqrt(volume)"), ("e", d("l", 1)), ("o", "(close - open) / nullif(open, 0)"), ("a", "percent_rank() OVER (PARTITION BY date ORDER BY e NULLS LAST)"), ("b", "percent_rank() OVER (PARTITION BY date ORDER BY o NULLS LAST)")], f"-({partial_corr_sql('a', 'b', 6)})"),
     "expr_aliases": ("MA(Delay($close, 1), 3) + TS_SUM($open, 2)", [("p", lag("close", 1))], f"avg(p) {w(3)} + sum(open) {w(2)}"),
     "expr_library_operator": ("DecayLinear($close, 6)", [("l", f"list(close) {w(6)}")], "CASE WHEN len(l) = 6 THEN list_sum(list_transform(range(1, 7), lambda i: l[i] * i / 21.0)) END"),
 }
@@ -340,7 +344,7 @@ for _every in ("month", "week", "day"):
     ORACLES[_n] = f"WITH {bars_sql(_every)} SELECT date, symbol, {', '.join(f'{c}::FLOAT::DOUBLE AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'amount'))} FROM bars"
 
 _JOINED = f"{bars_sql('month')}, a0 AS (SELECT date, symbol, {d('close', 5)} AS factor, lead(close, 1) {_ISO} / nullif(close, 0) - 1 AS ret FROM bars), a AS (SELECT * FROM a0 WHERE factor IS NOT NULL AND ret IS NOT NULL)"
-_CORR = "CASE WHEN stddev_pop(p) * stddev_pop(q) > 1e-12 THEN covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)) END"
+_CORR = "CASE WHEN max(p) > min(p) AND max(q) > min(q) THEN covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)) END"
 _RANKED = f"r AS (SELECT date, {rank_sql('factor')} AS p, {rank_sql('ret')} AS q FROM a)"
 _IC = f"WITH {_JOINED}, {_RANKED}, ic AS (SELECT date, {_CORR} AS ic, count(*) AS n FROM r GROUP BY date HAVING count(*) >= 5)"
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,7 +23,24 @@ def read_source_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """As UTF-8, or as GBK where that leaves replacement characters in the header or the first rows."""
     df = read_csv(spark, path, **options)
     seen = "".join(df.columns) + "".join(str(v) for r in df.head(20) for v in r)
-    return read_csv(spark, path, encoding="gbk", **options) if "�" in seen else df
+    return read_encoded_csv(spark, path, "gbk") if "\ufffd" in seen else df
+
+
+def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """CSV files with header in an encoding that Spark's reader lacks, as text columns: Python decodes, file by file."""
+
+    def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                head, *rows = content.decode(encoding, "replace").lstrip("\ufeff").splitlines() or [""]
+                rows = [r for r in rows if r.strip()] or [None]
+                yield pa.RecordBatch.from_arrays([pa.array([head] * len(rows)), pa.array(rows, pa.string())], ["head", "line"])
+
+    text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "head string, line string")
+    first = text.select("head").first()
+    names = next(csv.reader([first["head"]])) if first else []
+    fields = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(len(names)))))
+    return text.where("line IS NOT NULL").select(fields.alias("f")).select(*[F.col(f"f.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def read_folder(spark: SparkSession, folder: str, kind: str = "csv", pattern: str | None = None, recursive: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ def event_bars(events: DataFrame, every: str = "1 day", late: str = "1 day") ->
     """date, symbol (user), open .. close of ``value``, volume (events): a bar is final once the watermark passes it.
     Works on batches alike."""
     at = F.struct("ts", "event_id")
-    own = events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), F.col("user_id").alias("symbol"))
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), F.col("user_id").alias("symbol"))
     bars = own.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("volume"))
     return bars.select(F.col("w.start").alias("ts"), "symbol", "open", "high", "low", "close", "volume")
 
