@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)"
 FIRST_SEGMENT = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\\]*/([^/?#]+)"
 
@@ -58,12 +60,14 @@ def filter_urls(captures: DataFrame, changes: DataFrame, url: str = "url", fetch
     below = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.transform(below, lambda h: F.concat(h, F.lit("/"), F.lower("__seg")))
     names = F.array_distinct(F.concat(below, F.when(F.col("__seg") != "", paths).otherwise(F.array().cast("array<string>"))))
-    found = (
+    # Staged, so that the last join stands on plain exchanges, whose hot sites Spark can split.
+    found = staged(
         sites.select("host", "__seg", F.explode(names).alias("rule"))
         .join(rule_intervals(changes), "rule")
         .groupBy("host", "__seg")
         .agg(F.sort_array(F.collect_list(F.struct((-F.length("rule")).alias("order"), "rule", "spans"))).alias("__rules"))
-        .withColumnsRenamed({"host": "__host", "__seg": "__seg2"})
+        .withColumnsRenamed({"host": "__host", "__seg": "__seg2"}),
+        "sites",
     )
     day = F.col(fetched).cast("date")
     active = lambda r: F.filter(r["spans"], lambda s: (s["since"] <= day) & (s["until"].isNull() | (day < s["until"])))
