@@ -28,12 +28,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a cut in the lineage
     that outlives executors.  Two readers of the result do the work above it once."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/alphaspark-{uuid.uuid4().hex}/{name}"
+    path = f"{work_folder(spark)}/{name}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for work tables in the shared folder.  Results are lazy, so it stays until the driver's JVM ends."""
+    folder = f"{checkpoint_root(spark)}/alphaspark-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def row_keys(doc_id: Column, text: Column) -> list[Column]:
     """Two longs, never null, that name a row: its id and a hash of id and text.
     Repeated rows share them, and so do all results that depend on the row's contents."""

@@ -6,13 +6,12 @@ Each stage takes (spark, docs, sf_dir) and returns all it keeps; all but the las
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaspark.llm.common import checkpoint_root
+from alphaspark.llm.common import work_folder
 from alphaspark.llm.decontaminate import without_leaks
 from alphaspark.llm.line_dedup import line_dedup
 from alphaspark.llm.mixing import mix_sources
@@ -69,7 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_root(spark)}/alphaspark-pipeline-{uuid.uuid4().hex}"
+    folder = work_folder(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
