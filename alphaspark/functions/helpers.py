@@ -1,0 +1,13 @@
+"""Short names for the builders used most."""
+
+from __future__ import annotations
+
+from .cross import rank as cs_rank
+from .cross import zscore as cs_zscore
+from .rolling import corr as ts_corr
+from .rolling import decay_linear
+from .rolling import mean as rolling_mean
+from .rolling import std as rolling_std
+from .rolling import ts_rank
+
+__all__ = ["cs_rank", "cs_zscore", "decay_linear", "rolling_mean", "rolling_std", "ts_corr", "ts_rank"]

@@ -201,3 +201,9 @@ def test_pushdown(spark, sf_small):
     assert "l_tax" not in plan.split("ReadSchema")[1] and plan.count("Exchange") == 1
     files_df = files.load_panel(spark.read.parquet(f"{sf_small}/orders.parquet").select(F.to_date("o_orderdate").alias("date"), F.col("o_custkey").alias("symbol")), [5])
     assert "EqualTo(o_custkey,5)" in files_df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_markets():
+    from alphaspark.markets import IndexCode, Market, full_code
+
+    assert full_code(IndexCode.CSI300) == "000300.SH" and Market("SSE") is Market.SSE
