@@ -151,7 +151,7 @@ def _search(items: Items, least: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: float = 0.5, block_windows: int = MAX_ITEMS_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: float = 0.25, block_windows: int = MAX_ITEMS_WINDOWS) -> DataFrame:
     """Leaks of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text): doc_id, item_id, n_matched and n_windows (template
     windows of ``width`` words found, and all of the item), n_changed (slots with another value), exact,
     first_word, last_word.  An item leaks where at least ``least`` of its windows are found, in consistent slots.
