@@ -56,21 +56,22 @@ def template(text: str, cache: Tokens) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return raw, raw
     kind = raw & U64(7)
-    begins = np.concatenate([[True], kind[:-1] == STOP])
-    after_number = np.concatenate([[False], kind[:-1] == NUMBER])
+    before = np.concatenate([[STOP], kind[:-1]])
     own = raw >> U64(3)
-    place = np.where((kind == NUMBER) | ((kind == NAME) & ~begins) | ((kind == UNIT) & after_number), kind, U64(0))
+    place = (kind == NUMBER) | ((kind == NAME) & (before != STOP)) | ((kind == UNIT) & (before == NUMBER))
     words = kind != STOP
-    return np.where(place > 0, place, own | U64(1 << 63))[words], own[words]
+    return np.where(place, kind, own | U64(1 << 63))[words], own[words]
 
 
 def window_hashes(canonical: np.ndarray, width: int) -> np.ndarray:
     n = len(canonical) - width + 1
     if n < 1:
         return np.empty(0, U64)
+    own = mix(canonical)
     out = np.full(n, U64(width))
     for j in range(width):
-        out = out * U64(0x9E3779B97F4A7C15) + mix(canonical[j : j + n])
+        out *= U64(0x9E3779B97F4A7C15)
+        out += own[j : j + n]
     return mix(out)
 
 
@@ -99,6 +100,10 @@ class Items:
         self.hashes = flat[order]
         self.of, self.at = (np.concatenate(x)[order] if hashes else np.empty(0, np.int64) for x in (of, at))
         self.sizes = sorted(set(self.widths))
+        # A table of hash prefixes turns almost all other windows away before the look-up proper.
+        self.shift = U64(64 - max(16, (16 * len(flat)).bit_length()))
+        self.prefixes = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.prefixes[(flat >> self.shift).astype(np.int64)] = True
 
     def find(self, canonical: np.ndarray, own: np.ndarray, least: float) -> list[tuple[int, int, int, int, bool, int, int]]:
         """(item_id, windows matched, windows, slots changed, exact, first, last word of the document) of each
@@ -113,13 +118,13 @@ class Items:
             grams = window_hashes(canonical, w)
             if not len(grams):
                 continue
-            left, right = np.searchsorted(self.hashes, grams, "left"), np.searchsorted(self.hashes, grams, "right")
-            hit = np.flatnonzero(right > left)
-            if not len(hit):
+            hit = np.flatnonzero(self.prefixes[(grams >> self.shift).view(np.int64)])
+            left, right = np.searchsorted(self.hashes, grams[hit], "left"), np.searchsorted(self.hashes, grams[hit], "right")
+            count = right - left
+            if not count.any():
                 continue
-            count = right[hit] - left[hit]
             where = np.repeat(hit, count)
-            entry = np.repeat(left[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            entry = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
             items, offset = self.of[entry], where - self.at[entry]
             groups, inverse, sizes = np.unique(np.stack([items, offset], 1), axis=0, return_inverse=True, return_counts=True)
             for g, (i, o) in enumerate(groups):
