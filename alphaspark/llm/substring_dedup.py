@@ -86,16 +86,17 @@ def repeated_spans(docs: DataFrame, window: int = 35, seed: int = SEED) -> DataF
     texts = docs.select(*row_keys(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("text"))
     kinds = "k1 long, k2 long, first int, count int, seed long, run long"
     found = staged(texts.mapInArrow(_seeds(window, seed), kinds), "seeds")
-    again = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    # Counts are staged, so that the joins with them stand on plain exchanges, whose hot seeds Spark can split.
+    again = staged(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "again")
     near = staged(found.join(again, "seed", "left_semi"), "near")
 
-    runs = near.groupBy("seed", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "first", "count")).alias("p"))
-    several = runs.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed")
+    runs = staged(near.groupBy("seed", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "first", "count")).alias("p")), "runs")
+    several = staged(runs.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed"), "several")
     whole = near.join(runs.where("copies > 1").select("seed", "run"), ["seed", "run"], "left_semi").select("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("count") + window - 1).alias("stop"))
     todo = runs.join(several, "seed", "left_semi").select("p.k1", "p.k2", F.struct("p.first", "p.count", "seed", "copies").alias("r")).groupBy("k1", "k2").agg(F.collect_list("r").alias("runs"))
     opened = texts.join(todo, ["k1", "k2"])
     singles = staged(opened.select("k1", "k2", "text", "runs").mapInArrow(_windows(window), "k1 long, k2 long, at int, seed long, window long, copies long"), "windows")
-    twice = singles.groupBy("seed", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("seed", "window")
+    twice = staged(singles.groupBy("seed", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("seed", "window"), "twice")
     part = singles.where("copies = 1").join(twice, ["seed", "window"], "left_semi").select("k1", "k2", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
     return whole.union(part).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
