@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Each source is cut by the first four hex digits of its documents' md5 into so many parts.
 PARTS_HEX = 4
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,7 +43,7 @@ def mix_sources(
     for the documents that the rest of the target covers (a part of the last one).  The demand is inverted where a
     copy starts: ``positions`` has t for each copy.  Rows are range-sorted by their first position.
 
-    Prefix sums take two levels: (source, md5 part) sums, then sums inside parts, so no task holds a source.
+    Prefix sums take three levels: 256 tops of a source, 256 parts of a top, documents of a part, so no task holds a source.
     Only one row for each source goes to the driver.  Null text: 0 words.  Null sources are one source.  Null
     ids hash as empty text.  No rows: no rows.
     """
@@ -50,7 +52,8 @@ def mix_sources(
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__u"),
     )
-    words = words.withColumn("__part", F.conv(F.substring("__u", 1, PARTS_HEX), 16, 10).cast("int"))
+    # Staged: sums, places and the sampling of the range sort read a few numbers a document instead of its text.
+    words = staged(words.withColumn("__part", F.conv(F.substring("__u", 1, PARTS_HEX), 16, 10).cast("int")), "words")
     parts = words.groupBy("source", "__part").agg(F.sum("size").alias("__sum"))
     totals = [(r["source"], int(r["n"])) for r in parts.groupBy("source").agg(F.sum("__sum").alias("n")).collect()]
     totals.sort(key=lambda x: (x[0] is None, x[0] or ""))
@@ -59,12 +62,16 @@ def mix_sources(
     rows = [(s, n, t, float(ramps[i % len(ramps)])) for i, ((s, n), t) in enumerate(zip(totals, target, strict=True))]
     plan = docs.sparkSession.createDataFrame(rows, "__source string, source_size long, target double, __ramp double")
 
-    earlier = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # Of a source's words, those before each 256 parts, and those before a part among its 256.
+    tops = parts.groupBy(F.col("source").alias("__source"), F.shiftright("__part", 8).alias("__top")).agg(F.sum("__sum").alias("__n"))
+    above = Window.partitionBy("__source").orderBy("__top").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("__above", F.coalesce(F.sum("__n").over(above), F.lit(0))).join(plan.withColumnRenamed("__source", "__name"), F.col("__source").eqNullSafe(F.col("__name")))
+    beside = Window.partitionBy("source", "__top2").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        parts.withColumn("__start", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("__source")))
-        .select(F.col("source").alias("__source"), F.col("__part").alias("__part2"), "__start", "source_size", "target", "__ramp")
-    )
+        parts.withColumn("__top2", F.shiftright("__part", 8)).withColumn("__beside", F.coalesce(F.sum("__sum").over(beside), F.lit(0)))
+        .join(tops, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__top2") == F.col("__top")))
+        .select(F.col("source").alias("__source"), F.col("__part").alias("__part2"), (F.col("__above") + F.col("__beside")).alias("__start"), "source_size", "target", "__ramp")
+    )
     inside = Window.partitionBy("source", "__part").orderBy("__u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         words.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
