@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     kinds = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"
     sketches = staged(texts.mapInArrow(_sketches(width, perms, band_rows), kinds), "sketches")
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
+    # Staged, as the other counts below, so that joins stand on plain exchanges, whose hot keys Spark can split.
+    classes = staged(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
     of_class = full.join(classes, ["c1", "c2"])
     copies = of_class.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     placed = of_class.where("doc_id = node").select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
