@@ -7,6 +7,7 @@ the operators do that read their window as a sequence.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -27,7 +28,13 @@ def full(value: Column, n: int, axes: Axes) -> Column:
 
 def values(x: Column, n: int, axes: Axes = AXES) -> Column:
     """The window as array<double>, oldest first, NULLs kept (a bare collect_list drops them)."""
-    return F.transform(F.collect_list(F.struct(x.cast("double").alias("v"))).over(axes.rows(n)), lambda s: s["v"])
+    return F.transform(F.collect_list(F.struct(settled(x, axes).cast("double").alias("v"))).over(axes.rows(n)), lambda s: s["v"])
+
+
+def settled(x: Column, axes: Axes) -> Column:
+    """An expression as a column of its own, by a window of one row: a sliding frame evaluates its argument
+    again for every row of every frame, which is dear where the argument is itself a fold."""
+    return x if re.fullmatch(r"Column<'\w+'>", str(x)) else F.first(x).over(axes.rows(1))
 
 
 def ref(x: Column, n: int = 1, axes: Axes = AXES) -> Column:
@@ -251,4 +258,4 @@ def cumulative(x: Column, axes: Axes = AXES) -> Column:
     return F.sum(x).over(axes.so_far())
 
 
-__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "math", "F", "Column", "AXES", "Axes", "WindowSpec", "finite", "TINY")]
+__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "math", "re", "F", "Column", "AXES", "Axes", "WindowSpec", "finite", "TINY")]

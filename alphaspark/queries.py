@@ -15,7 +15,6 @@ from .analysis import LayeredBacktest, daily_ic, forward_returns, ic_summary
 from .calendar_tools import calendar_parts
 from .factors import FACTORS
 from .functions import cross, rolling
-from .functions.axes import finite
 from .operators import OPERATORS
 from .plans import ExprEngine
 from .preprocess import DataPreprocessor
@@ -106,7 +105,8 @@ def with_gaps(df: DataFrame) -> DataFrame:
 
 def single(value: Column) -> Column:
     """Finite values below 1e30 in single precision, no negative zero: sums differ between engines in their last digits."""
-    return F.when(F.abs(finite(value)) < 1e30, value.cast("float").cast("double") + 0.0)
+    # An array of one binds the value, so that a costly expression is evaluated once.
+    return F.get(F.transform(F.array(value.cast("double")), lambda v: F.when(~F.isnan(v) & (F.abs(v) < 1e30), v.cast("float").cast("double") + 0.0)), F.lit(0))
 
 
 def call(name: str, *args, **options) -> Callable[[], Column]:
