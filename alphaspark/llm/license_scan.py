@@ -39,11 +39,31 @@ Neither the name of the copyright holder nor the names of its contributors may b
     "CC-BY-SA-4.0": """Licensed under CC BY-SA 4.0. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. http://creativecommons.org/licenses/by-sa/4.0/""",
     "CC0-1.0": """Licensed under CC0 1.0. This work is dedicated to the public domain under the Creative Commons Zero 1.0 Universal Public Domain Dedication. http://creativecommons.org/publicdomain/zero/1.0/""",
 }
+#: What the words of a stretch must hold to name a license, in lower case and joined by spaces; a text
+#: without the name or the version of its license is told by wording that only it has.
+KEYS: dict[str, str] = {
+    "MIT": r"\bmit\b(?!-)|to deal in the software without restriction|the above copyright notice and this permission notice shall be included in all copies",
+    "Apache-2.0": r"\bapache(?: software)? license (?:version |v )?v?2(?:\.0)?\b|\bapache[- ]v?2(?:\.0)?\b|unless required by applicable law or agreed to in writing",
+    "MPL-2.0": r"\bmozilla public license (?:version |v )?v?2\.0|\bmpl[-/ ]?v?2(?:\.0)?\b",
+    "BSD-3-Clause": r"\bbsd-3-clause\b(?!-)|\b(?:bsd 3-clause|3-clause bsd|new bsd|modified bsd|revised bsd)\b|(?<!0-clause )(?<!2-clause )(?<!simplified )(?<!zero-clause )\bbsd license\b|neither the names? of",
+    "CC0-1.0": r"\bcc0\b|\bcc0-1\.0\b|creative commons zero|publicdomain/zero/",
+}
+_GNU = r"(?: (?!v?\d)\S+){{0,16}} v?{v}(?:\.0)?(?![.\d])"
+for _id, _short, _full, _v in (("GPL-3.0", "gpl", "general", "3"), ("GPL-2.0", "gpl", "general", "2"), ("LGPL-3.0", "lgpl", "lesser general", "3"), ("AGPL-3.0", "agpl", "affero general", "3")):
+    KEYS[_id] = rf"(?<![-\w]){_short}[- ]?v?{_v}(?:\.0)?(?![.\d])|\b{_short}(?: license)? version {_v}(?:\.0)?(?![.\d])|\bgnu {_full} public license" + _GNU.format(v=_v)
+for _id, _short, _full in (("CC-BY-4.0", "by", "attribution"), ("CC-BY-SA-4.0", "by-sa", "attribution-sharealike"), ("CC-BY-NC-4.0", "by-nc", "attribution-noncommercial")):
+    KEYS[_id] = rf"\bcc[- ]{_short}[- ]v?4\.0\b|creative commons {_full} (?:version )?v?4\.0\b|creativecommons\.org/licenses/{_short}/4\.0"
+#: What makes the mention of a license a grant, in its sentence and not after it.
+_GRANT = re.compile(r"\b(?:under|licen[sc]ed|licen[sc]e:|spdx|terms|released|distributed|dedicated|available)")
+#: A stretch of so many words needs no grant; longer units are cut.
+LONG, UNIT_WORDS = 10, 200
+
 #: What a block must hold, in lower case, to be looked at.
 CUES = ("licen", "copyright", "spdx", "creative commons", "permission is hereby", "redistribut", "public domain", "gnu ")
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
 _WORD = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9./:+-]*[A-Za-z0-9+])?")
-#: Lines next to a line with a cue belong to its block if so many of their words are words of the templates.
+_SENTENCE = re.compile(r"(?<=[.!?;])[\"')\]]*[ \t]+(?=[\"'(\[]*[A-Z])")
+#: Units next to a unit with a cue belong to its block if so many of their words are words of the templates.
 FAMILIAR = 0.75
 
 
@@ -52,7 +72,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Scanner:
-    """Compresses blocks with and without each template and confirms the best by wording."""
+    """Finds the stretch of a block that a template words best and compresses it with and without each template."""
 
     def __init__(self, templates: dict[str, str], confirm: float, level: int = 3) -> None:
         self.names = sorted(templates)
@@ -60,22 +80,45 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_dict_id=False)
         self.primed = [zstandard.ZstdCompressor(level=level, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names]
         self.words = [words_of(templates[n]) for n in self.names]
+        self.keys = [re.compile(KEYS[n]) if n in KEYS and templates[n] == TEMPLATES.get(n) else None for n in self.names]
+        self.phrases = [self.short_forms(templates[n]) for n in self.names]
         self.vocabulary = frozenset(w for own in self.words for w in own if len(w) > 2)
-        self.seen: dict[str, tuple | None] = {}
-
-    def blocks(self, text: str) -> list[tuple[int, int, str]]:
-        """(first line, last line, text) of each run of lines with cues and of familiar lines next to them."""
-        lines = text.split("\n")
-        out, end = [], -1
-        for i, line in enumerate(lines):
-            if i <= end or not _CUE.search(line):
+        self.seen: dict[str, tuple] = {}
+
+    @staticmethod
+    def short_forms(template: str) -> list[int]:
+        """For each word the number of its sentence in a template's first line, where each is a form of its own; else -1."""
+        first, *others = template.split("\n", 1)
+        forms = [i for i, part in enumerate(_SENTENCE.split(first)) for _ in words_of(part)] if others else [-1] * len(words_of(first))
+        return forms + [-1] * (len(words_of(template)) - len(forms))
+
+    def units(self, text: str) -> list[tuple[int, int, bool]]:
+        """(start, end, long) of each line, of the sentences of a line, and of pieces of sentences without an end."""
+        out, at = [], 0
+        for line in text.split("\n"):
+            ends = [m.end() for m in _SENTENCE.finditer(line)] if _CUE.search(line) or len(line) > 2000 else []
+            for a, b in zip([0, *ends], [*ends, len(line)], strict=True):
+                cuts = [m.start() for m in _WORD.finditer(line, a, b)][UNIT_WORDS::UNIT_WORDS] if b - a > 2 * UNIT_WORDS else []
+                out += [(at + x, at + y, bool(cuts)) for x, y in zip([a, *cuts], [*cuts, b], strict=True)]
+            at += len(line) + 1
+        return out
+
+    def blocks(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of each run of units with cues and of familiar units next to them."""
+        if not _CUE.search(text):
+            return []
+        units, out, end = self.units(text), [], -1
+        cued = [bool(_CUE.search(text, a, b)) for a, b, _ in units]
+        near = lambda k: cued[k] or self.familiar(text[units[k][0] : units[k][1]])
+        for i in range(len(units)):
+            if i <= end or not cued[i]:
                 continue
             first = last = i
-            while first - 1 > end and self.familiar(lines[first - 1]):
+            while first - 1 > end and (near(first - 1) or (units[first][2] and units[first - 1][2] and cued[first])):
                 first -= 1
-            while last + 1 < len(lines) and (_CUE.search(lines[last + 1]) or self.familiar(lines[last + 1])):
+            while last + 1 < len(units) and (near(last + 1) or (units[last][2] and units[last + 1][2] and cued[last])):
                 last += 1
-            out.append((first, last, "\n".join(lines[first : last + 1])))
+            out.append((units[first][0], units[last][1]))
             end = last
         return out
 
@@ -84,40 +127,112 @@ class Scanner:
         return len(own) >= 4 and sum(w in self.vocabulary for w in own) >= FAMILIAR * len(own)
 
     def best(self, block: str) -> tuple | None:
-        """(name, plain size, primed size, second name, its size, share, missing, added) or None."""
+        """(name, plain size, primed size, second name, its size, share, missing, added) of the first stretch, or None."""
+        found = self.stretches(block)
+        return found[0][2:] if found else None
+
+    def stretches(self, block: str) -> list[tuple]:
+        """(start, end, *what best() returns) of each licensed stretch of a block, in order: the one that a template reduces
+        most, then those of what lies before and behind it."""
         if block in self.seen:
             return self.seen[block]
-        data = block.encode()
-        plain = len(self.plain.compress(data))
-        sizes = sorted((len(c.compress(data)), i) for i, c in enumerate(self.primed))
-        own, found = words_of(block), None
-        for size, i in sizes:
-            # Exact wording decides among the templates that compress as well as the best, or nearly so.
-            if size >= plain or size > sizes[0][0] + 4 or not own:
-                break
-            share, missing, added = self.differences(own, self.words[i])
-            if share >= self.confirm and (found is None or share > found[5]):
-                other = next(s for s in sizes if s[1] != i) if len(sizes) > 1 else (plain, i)
-                found = (self.names[i], plain, size, self.names[other[1]], other[0], share, missing, added)
+        spans = [m.span() for m in _WORD.finditer(block)]
+        own, found, todo = [block[a:b].lower() for a, b in spans], [], [(0, len(spans))]
+        while todo:
+            low, high = todo.pop()
+            hit = self.stretch(block, spans, own, low, high)
+            if hit:
+                first, last, *verdict = hit
+                found.append((spans[first][0], self.end(block, spans[last][1]), *verdict))
+                todo += [(low, first), (last + 1, high)]
         if len(self.seen) >= 1 << 16:
             self.seen.clear()
-        self.seen[block] = found
+        self.seen[block] = found = sorted(found)
         return found
 
     @staticmethod
-    def differences(own: list[str], template: list[str]) -> tuple[float, list[str], list[str]]:
-        """Share of the block's words in the aligned stretch of the template, and the words that
-        the stretch has and the block lacks, and the other way round."""
+    def end(block: str, at: int) -> int:
+        """Behind the punctuation after a word."""
+        return at + len(re.match(r"[^\w\s]*", block[at : at + 8])[0])
+
+    def stretch(self, block: str, spans: list[tuple[int, int]], own: list[str], low: int, high: int) -> tuple | None:
+        """(first word, last word, *verdict) of the stretch among words low .. high - 1 that a template reduces most."""
+        part = own[low:high]
+        joined, best, result = " ".join(part), (0, 0.0, 0), None
+        for i, key in enumerate(self.keys):
+            if not part or (key and not key.search(joined)):
+                continue
+            first, last, share, missing, added = self.differences(part, self.words[i], self.phrases[i])
+            if share < self.confirm or not self.evidence(block, spans, own, low + first, low + last, i, round(share * (last - first + 1))):
+                continue
+            data = block[spans[low + first][0] : self.end(block, spans[low + last][1])].encode()
+            plain, size = len(self.plain.compress(data)), len(self.primed[i].compress(data))
+            # Exact wording decides among the templates that reduce as much as the best, or nearly so.
+            gain = plain - size
+            if gain <= 0 or not (gain > best[0] + 4 or (gain >= best[0] - 4 and (share, last - first) > best[1:])):
+                continue
+            best, result = (gain, share, last - first), (low + first, low + last, i, data, plain, size, share, missing, added)
+        if result is None:
+            return None
+        first, last, i, data, plain, size, share, missing, added = result
+        other, its = min(((len(c.compress(data)), k) for k, c in enumerate(self.primed) if k != i), default=(plain, i))[::-1]
+        return first, last, self.names[i], plain, size, self.names[other], its, share, missing, added
+
+    def evidence(self, block: str, spans: list[tuple[int, int]], own: list[str], first: int, last: int, i: int, same: int) -> bool:
+        """Whether a stretch names the template's license, and grants it: by its length, by a word in its
+        sentence, or as a line of its own."""
+        if self.keys[i] is None:
+            return same >= min(4, len(self.words[i]))
+        stretch = " ".join(own[first : last + 1])
+        # Two words more, so that "simplified bsd license" isn't cut to "bsd license".
+        if not any(m.end() > (len(" ".join(own[max(0, first - 2) : first])) if first else 0) for m in self.keys[i].finditer(" ".join(own[max(0, first - 2) : last + 1]))) or not self.keys[i].search(stretch):
+            return False
+        if same >= LONG:
+            return True
+        start = max([block.rfind("\n", 0, spans[first][0]) + 1, *(m.end() for m in _SENTENCE.finditer(block, max(0, spans[first][0] - 400), spans[first][0] + 1))])
+        granted = _GRANT.search(block[start : spans[last][1]].lower())
+        if granted:
+            return same >= 2 or "spdx" in block[start : spans[last][1]].lower()
+        stop = block.find("\n", spans[last][1])
+        return same >= 2 and last - first + 1 >= self.confirm * len(words_of(block[start : stop if stop >= 0 else len(block)]))
+
+    def differences(self, own: list[str], template: list[str], forms: list[int]) -> tuple[int, int, float, list[str], list[str]]:
+        """First and last word of the stretch of ``own`` that fits the template best, the share of its words that stand in
+        the template in order, and the words that the template's stretch has and it lacks, and the other way round."""
         parts = [m for m in SequenceMatcher(None, own, template, autojunk=False).get_matching_blocks() if m.size]
+        # The stretch with the largest sum, where a word of the template counts 1 - confirm, any other -confirm, and words left
+        # out confirm - 1, up to 20 a place: a text may leave out sentences.
+        top, total, start, chosen = 0.0, 0.0, 0, (0, -1)
+        for k, m in enumerate(parts):
+            if k:
+                x = parts[k - 1]
+                left_out = sum(f < 0 for f in forms[x.b + x.size : m.b])
+                total -= self.confirm * (m.a - x.a - x.size) + (1 - self.confirm) * min(20, left_out)
+            if total <= 0:
+                total, start = 0.0, k
+            total += max(1 - self.confirm, 1e-9) * m.size
+            if total > top:
+                top, chosen = total, (start, k)
         if not parts:
-            return 0.0, [], own
-        missing, added, at, there = [], own[: parts[0].a], parts[0].a, parts[0].b
+            return 0, -1, 0.0, [], []
+        # And its neighbours that are longer than what lies between, while enough of all words still fit.
+        a, b = chosen
+        for step in (-1, 1):
+            while 0 <= (k := (a if step < 0 else b) + step) < len(parts):
+                x, y = parts[min(k, k - step)], parts[max(k, k - step)]
+                first, last = min(parts[a].a, x.a), max(parts[b].a + parts[b].size, y.a + y.size)
+                if parts[k].size < max(y.a - x.a, y.b - x.b) - x.size or sum(m.size for m in parts[min(a, k) : max(b, k) + 1]) < self.confirm * (last - first):
+                    break
+                a, b = min(a, k), max(b, k)
+        parts = parts[a : b + 1]
+        first, last = parts[0].a, parts[-1].a + parts[-1].size - 1
+        used = {forms[j] for m in parts for j in range(m.b, m.b + m.size)} | {-1}
+        missing, added, at, there = [], [], parts[0].a, parts[0].b
         for m in parts:
             added += own[at : m.a]
-            missing += template[there : m.b]
+            missing += [template[j] for j in range(there, m.b) if forms[j] in used]
             at, there = m.a + m.size, m.b + m.size
-        added += own[at:]
-        return sum(m.size for m in parts) / len(own), missing, added
+        return first, last, sum(m.size for m in parts) / (last - first + 1), missing, added
 
 
 def _scan(templates: dict[str, str], confirm: float):
@@ -126,11 +241,11 @@ def _scan(templates: dict[str, str], confirm: float):
         for _, (ids, texts) in chunks(batches):
             rows = []
             for doc, text in zip(ids, texts, strict=True):
-                for first, last, block in scanner.blocks(text or ""):
-                    hit = scanner.best(block)
-                    if hit:
-                        name, plain, primed, second, second_size, share, missing, added = hit
-                        rows.append((doc, first, last, name, plain, primed, second, second_size, round(share, 6), not missing and not added, json.dumps({"missing": missing, "added": added}), block))
+                for start, end in scanner.blocks(text or ""):
+                    block = text[start:end]
+                    for a, b, name, plain, primed, second, second_size, share, missing, added in scanner.stretches(block):
+                        first, last = text.count("\n", 0, start + a), text.count("\n", 0, start + b)
+                        rows.append((doc, first, last, name, plain, primed, second, second_size, round(share, 6), not missing and not added, json.dumps({"missing": missing, "added": added}), block[a:b]))
             if rows:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.bool_(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], SCHEMA.replace(",", "").split()[::2])
@@ -142,12 +257,13 @@ SCHEMA = "doc_id long, first_line int, last_line int, license string, plain_size
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, confirm: float = 0.8) -> DataFrame:
-    """One row for each licensed block of ``docs`` (doc_id, text), with the columns of SCHEMA.
+    """One row for each licensed stretch of ``docs`` (doc_id, text), with the columns of SCHEMA.
 
-    A block is a run of lines with a cue and the lines next to it that are worded like the templates.  It is
-    compressed alone and with each template as zstandard raw dictionary; templates are ranked by the reduction, and of the
-    best (within 4 bytes) the one whose wording fits best wins, if at least ``confirm`` of the block's words
-    stand in it in order; ``differences`` lists words missing from and added to that stretch.
+    A block is a run of lines (or sentences of a line) with a cue and those next to it that are worded like the templates.
+    For each template that the block names (KEYS), its stretch is the part of the block in which at least ``confirm`` of the
+    words stand in the template in order; it is compressed alone and with the template as zstandard raw dictionary.
+    Stretches are ranked by the reduction, and of the best (within 4 bytes) the one whose wording fits best wins;
+    ``differences`` lists words missing from and added to it.  The block is cut around it and the rest scanned again.
 
     Texts are scanned whole; those without any cue don't leave the JVM.  Null and empty texts hold no license.  Null
     ids and repeated rows are reported row by row.  No rows: no rows.

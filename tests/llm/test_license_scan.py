@@ -52,3 +52,19 @@ def test_all_license_lines_of_the_corpus(spark, sf_small):
     lines = ("Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.")
     want = sorted((r["doc_id"], i) for r in docs.collect() for i, x in enumerate(r["text"].split("\n")) if x in lines)
     assert sorted((r["doc_id"], r["first_line"]) for r in scan_licenses(docs).collect()) == want and want
+
+
+def found(text):
+    scanner = Scanner(TEMPLATES, 0.8)
+    return [(h[2], text[a:b][h[0] : h[1]]) for a, b in scanner.blocks(text) for h in scanner.stretches(text[a:b])]
+
+
+def test_a_part_of_a_block_is_enough():
+    prose = "We went home early and talked about many other things that evening. "
+    assert found("Copyright (c) 2024 Jane Doe\nLicensed under the MIT License.") == [("MIT", "Licensed under the MIT License.")]
+    assert found("// SPDX-License-Identifier: MIT\n// Copyright 2020 Foo") == [("MIT", "SPDX-License-Identifier: MIT")]
+    assert found(prose * 3 + "It is licensed under the Apache License, Version 2.0. " + prose * 3)[0][0] == "Apache-2.0"
+    assert [n for n, _ in found("word " * 3000 + "licensed under the MIT license " + "word " * 3000)] == ["MIT"]
+    assert [n for n, _ in found("Licensed under CC BY 4.0.\nReleased under the MIT License.")] == ["CC-BY-4.0", "MIT"]
+    assert [n for n, _ in found("Copyright 2021 X\n" + MIT + "\n\n" + prose)] == ["MIT"]
+    assert found("The MIT library was copyright deposit for years.") == []
