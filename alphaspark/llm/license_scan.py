@@ -14,52 +14,108 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-#: Notices and grants by SPDX id, as their texts word them.
+#: Parts that several licenses share.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+#: Notices, grants and the conditions of short licenses by SPDX id, as their texts word them.  The first
+#: line holds short forms, each of its own.
 TEMPLATES: dict[str, str] = {
-    "MIT": """Released under the MIT License. Licensed under the MIT License. This project is licensed under the terms of the MIT license. SPDX-License-Identifier: MIT
+    "MIT": """Released under the MIT License. Licensed under the MIT License. This project is licensed under the terms of the MIT license. The MIT License (MIT). License: MIT. SPDX-License-Identifier: MIT
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0. Released under the Apache License 2.0. SPDX-License-Identifier: Apache-2.0
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0. Released under the Apache License 2.0. License: Apache 2.0. SPDX-License-Identifier: Apache-2.0
 Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "GPL-3.0": """This work is licensed under the GNU General Public License, version 3. Licensed under the GNU General Public License v3.0. SPDX-License-Identifier: GPL-3.0-or-later
-This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "GPL-2.0": """This work is licensed under the GNU General Public License, version 2. Licensed under the GNU General Public License v2.0. SPDX-License-Identifier: GPL-2.0-only
-either version 2 of the License, or (at your option) any later version.""",
-    "LGPL-3.0": """This work is licensed under the GNU Lesser General Public License, version 3. SPDX-License-Identifier: LGPL-3.0-or-later""",
-    "AGPL-3.0": """This work is licensed under the GNU Affero General Public License, version 3. SPDX-License-Identifier: AGPL-3.0-or-later""",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/. SPDX-License-Identifier: MPL-2.0""",
-    "BSD-3-Clause": """Licensed under the BSD 3-Clause License. Released under the BSD License. SPDX-License-Identifier: BSD-3-Clause
-Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
-    "CC-BY-NC-4.0": """Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. http://creativecommons.org/licenses/by-nc/4.0/""",
-    "CC-BY-4.0": """Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License. http://creativecommons.org/licenses/by/4.0/""",
-    "CC-BY-SA-4.0": """Licensed under CC BY-SA 4.0. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. http://creativecommons.org/licenses/by-sa/4.0/""",
-    "CC0-1.0": """Licensed under CC0 1.0. This work is dedicated to the public domain under the Creative Commons Zero 1.0 Universal Public Domain Dedication. http://creativecommons.org/publicdomain/zero/1.0/""",
+    "MPL-2.0": """Licensed under the Mozilla Public License 2.0. Licensed under the Mozilla Public License, version 2.0. Licensed under MPL 2.0. SPDX-License-Identifier: MPL-2.0
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSD-3-Clause": f"""Licensed under the BSD 3-Clause License. Licensed under the 3-Clause BSD License. Released under the BSD License. Licensed under the New BSD License. SPDX-License-Identifier: BSD-3-Clause
+{_BSD}
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+{_BSD_AS_IS}""",
+    "BSD-2-Clause": f"""Licensed under the BSD 2-Clause License. Licensed under the 2-Clause BSD License. Licensed under the Simplified BSD License. SPDX-License-Identifier: BSD-2-Clause
+{_BSD}
+{_BSD_AS_IS}""",
+    "ISC": f"""Licensed under the ISC License. Released under the ISC License. License: ISC. SPDX-License-Identifier: ISC
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+{_AS_IS}""",
+    "0BSD": f"""Licensed under the Zero-Clause BSD License. Licensed under the BSD Zero Clause License. SPDX-License-Identifier: 0BSD
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+{_AS_IS}""",
+    "Unlicense": """Released under the Unlicense. Licensed under the Unlicense. SPDX-License-Identifier: Unlicense
+This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. For more information, please refer to <http://unlicense.org/>""",
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0. Licensed under the Boost Software License 1.0. SPDX-License-Identifier: BSL-1.0
+Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software""",
+    "Zlib": """Licensed under the zlib License. Released under the zlib/libpng license. SPDX-License-Identifier: Zlib
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.""",
+    "Artistic-2.0": """Licensed under the Artistic License 2.0. Licensed under the Artistic License, version 2.0. SPDX-License-Identifier: Artistic-2.0
+This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.""",
+    "CC0-1.0": """Licensed under CC0 1.0. License: CC0. SPDX-License-Identifier: CC0-1.0
+This work is dedicated to the public domain under the Creative Commons Zero 1.0 Universal Public Domain Dedication. To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. http://creativecommons.org/publicdomain/zero/1.0/""",
 }
 #: What the words of a stretch must hold to name a license, in lower case and joined by spaces; a text
 #: without the name or the version of its license is told by wording that only it has.
 KEYS: dict[str, str] = {
-    "MIT": r"\bmit\b(?!-)|to deal in the software without restriction|the above copyright notice and this permission notice shall be included in all copies",
-    "Apache-2.0": r"\bapache(?: software)? license (?:version |v )?v?2(?:\.0)?\b|\bapache[- ]v?2(?:\.0)?\b|unless required by applicable law or agreed to in writing",
+    "MIT": r"(?<![-\w])mit\b(?!-)|to deal in the software without restriction|the above copyright notice and this permission notice shall be included in all copies",
+    "Apache-2.0": r"\bapache(?: software)? license (?:version |v )?v?2(?:\.0)?(?![.\d])|\bapache[- ]v?2(?:\.0)?(?![.\d])|unless required by applicable law or agreed to in writing",
     "MPL-2.0": r"\bmozilla public license (?:version |v )?v?2\.0|\bmpl[-/ ]?v?2(?:\.0)?\b",
-    "BSD-3-Clause": r"\bbsd-3-clause\b(?!-)|\b(?:bsd 3-clause|3-clause bsd|new bsd|modified bsd|revised bsd)\b|(?<!0-clause )(?<!2-clause )(?<!simplified )(?<!zero-clause )\bbsd license\b|neither the names? of",
-    "CC0-1.0": r"\bcc0\b|\bcc0-1\.0\b|creative commons zero|publicdomain/zero/",
+    "BSD-3-Clause": r"\bbsd-3-clause\b(?!-)|\b(?:bsd 3-clause|3-clause bsd|new bsd|modified bsd|revised bsd)\b|(?<!0-clause )(?<!2-clause )(?<!4-clause )(?<!simplified )(?<!zero-clause )\bbsd license\b|neither the names? of",
+    "BSD-2-Clause": r"\bbsd-2-clause\b(?!-)|\b(?:bsd 2-clause|2-clause bsd|simplified bsd|freebsd license)\b|^(?!.*neither the names? of).*redistributions in binary form must reproduce",
+    "ISC": r"\bisc license\b|(?:identifier|license) isc\b|or without fee is hereby granted provided that the above copyright notice",
+    "0BSD": r"\b0bsd\b|zero-clause bsd|bsd zero[- ]clause|or without fee is hereby granted(?! provided)",
+    "Unlicense": r"\bunlicense\b|free and unencumbered software",
+    "BSL-1.0": r"\bboost software license\b|\bbsl-1\.0|any person or organization obtaining a copy of the software",
+    "Zlib": r"\bzlib(?:/libpng)? license\b|identifier zlib\b|origin of this software must not be misrepresented|permission is granted to anyone to use this software for any purpose",
+    "Artistic-2.0": r"\bartistic license (?:version |v )?v?2\.0|\bartistic-2\.0",
+    "CC0-1.0": r"\bcc0\b|creative commons zero|publicdomain/zero/",
 }
-_GNU = r"(?: (?!v?\d)\S+){{0,16}} v?{v}(?:\.0)?(?![.\d])"
-for _id, _short, _full, _v in (("GPL-3.0", "gpl", "general", "3"), ("GPL-2.0", "gpl", "general", "2"), ("LGPL-3.0", "lgpl", "lesser general", "3"), ("AGPL-3.0", "agpl", "affero general", "3")):
-    KEYS[_id] = rf"(?<![-\w]){_short}[- ]?v?{_v}(?:\.0)?(?![.\d])|\b{_short}(?: license)? version {_v}(?:\.0)?(?![.\d])|\bgnu {_full} public license" + _GNU.format(v=_v)
-for _id, _short, _full in (("CC-BY-4.0", "by", "attribution"), ("CC-BY-SA-4.0", "by-sa", "attribution-sharealike"), ("CC-BY-NC-4.0", "by-nc", "attribution-noncommercial")):
-    KEYS[_id] = rf"\bcc[- ]{_short}[- ]v?4\.0\b|creative commons {_full} (?:version )?v?4\.0\b|creativecommons\.org/licenses/{_short}/4\.0"
+
+
+def _add_versions() -> None:
+    """Licenses that differ in a few words: their keys hold the name and the version in one place."""
+    rest = r"(?: (?!v?\d)\S+){0,16} v?"
+    for short, full, what, versions in (
+        ("GPL", "General", "program", "23"), ("LGPL", "Lesser General", "library", ("2.1", "3")), ("LGPL", "Library General", "library", "2"), ("AGPL", "Affero General", "program", "3"),
+        ("EPL", "Eclipse", "", "12"), ("GFDL", "Free Documentation", "", ("1.2", "1.3")),
+    ):
+        for v in versions:
+            dotted = v if "." in v else f"{v}.0"
+            name, spdx, low = f"{'' if short == 'EPL' else 'GNU '}{full} {'License' if short == 'GFDL' else 'Public License'}", f"{short}-{dotted}", short.lower()
+            forms = [f"This work is licensed under the {name}, version {v}.", f"Licensed under the {name} v{dotted}.", f"Licensed under the {name} {v}.", f"Licensed under the {short}v{v}.", f"Licensed under the {short} {v}.", f"License: {spdx}.", *(f"SPDX-License-Identifier: {spdx}{end}." for end in ("", "-only", "-or-later", "+"))]
+            grant = f"""This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+            if short == "EPL":
+                grant = f"This program and the accompanying materials are made available under the terms of the {name} v{dotted} which is available at https://www.eclipse.org/legal/epl-{dotted}/"
+            elif short == "GFDL":
+                grant = f"Permission is granted to copy, distribute and/or modify this document under the terms of the {name}, Version {v} or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."
+            TEMPLATES[spdx] = "\n".join([" ".join(forms), grant])
+            ver = re.escape(v) + r"(?:\.0)?(?:\+|-only|-or-later)?(?![-.\w])"
+            KEYS[spdx] = rf"(?<![-\w]){low}[- ]?v?{ver}|(?<![-\w]){low}(?: license)? version {ver}|{'' if short == 'EPL' else 'gnu '}{full.lower()} {'license' if short == 'GFDL' else 'public license'}{rest}{ver}"
+    for short, full in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        for v in ("4.0", "3.0"):
+            kind, low, spaced = "International" if v == "4.0" else "Unported", short.lower(), full.replace("-", " ")
+            TEMPLATES[f"CC-{short}-{v}"] = f"""Licensed under CC {short} {v}. This work is licensed under a Creative Commons {full} {v} {kind} License. Licensed under the Creative Commons {full} {v} {kind} License. Licensed under CC-{short}-{v}. SPDX-License-Identifier: CC-{short}-{v}
+To view a copy of this license, visit http://creativecommons.org/licenses/{low}/{v}/"""
+            names = "[- ]".join(w + ("s" if w == "noderiv" else "") for w in spaced.lower().split())
+            KEYS[f"CC-{short}-{v}"] = rf"\bcc[- ]{low.replace('-', '[- ]')}[- ]v?{re.escape(v)}(?![.\d])|creative commons {names} (?:version )?v?{re.escape(v)}(?![.\d])|creativecommons\.org/licenses/{low}/{re.escape(v)}"
+
+
+_add_versions()
 #: What makes the mention of a license a grant, in its sentence and not after it.
 _GRANT = re.compile(r"\b(?:under|licen[sc]ed|licen[sc]e:|spdx|terms|released|distributed|dedicated|available)")
 #: A stretch of so many words needs no grant; longer units are cut.
 LONG, UNIT_WORDS = 10, 200
 
 #: What a block must hold, in lower case, to be looked at.
-CUES = ("licen", "copyright", "spdx", "creative commons", "permission is hereby", "redistribut", "public domain", "gnu ")
+CUES = ("licen", "copyright", "spdx", "creative commons", "permission is hereby", "redistribut", "public domain", "gnu ", "permission to use", "permission is granted", "unencumbered", "eclipse public", "cc by", "cc-by", "cc0")
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
 _WORD = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9./:+-]*[A-Za-z0-9+])?")
 _SENTENCE = re.compile(r"(?<=[.!?;])[\"')\]]*[ \t]+(?=[\"'(\[]*[A-Z])")
@@ -68,7 +124,13 @@ FAMILIAR = 0.75
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return [plain_word(w) for w in _WORD.findall(text)]
+
+
+def plain_word(word: str) -> str:
+    """In lower case; addresses without their scheme."""
+    low = word.lower()
+    return re.sub(r"^https?://(?:www\.)?", "", low) if low.startswith("http") else low
 
 
 class Scanner:
@@ -123,7 +185,7 @@ class Scanner:
         return out
 
     def familiar(self, line: str) -> bool:
-        own = words_of(line)
+        own = [w for w in words_of(line) if len(w) > 2]
         return len(own) >= 4 and sum(w in self.vocabulary for w in own) >= FAMILIAR * len(own)
 
     def best(self, block: str) -> tuple | None:
@@ -137,7 +199,7 @@ class Scanner:
         if block in self.seen:
             return self.seen[block]
         spans = [m.span() for m in _WORD.finditer(block)]
-        own, found, todo = [block[a:b].lower() for a, b in spans], [], [(0, len(spans))]
+        own, found, todo = [plain_word(block[a:b]) for a, b in spans], [], [(0, len(spans))]
         while todo:
             low, high = todo.pop()
             hit = self.stretch(block, spans, own, low, high)

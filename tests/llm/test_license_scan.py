@@ -68,3 +68,25 @@ def test_a_part_of_a_block_is_enough():
     assert [n for n, _ in found("Licensed under CC BY 4.0.\nReleased under the MIT License.")] == ["CC-BY-4.0", "MIT"]
     assert [n for n, _ in found("Copyright 2021 X\n" + MIT + "\n\n" + prose)] == ["MIT"]
     assert found("The MIT library was copyright deposit for years.") == []
+
+
+GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (GNU.format("General", "2"), ["GPL-2.0"]), (GNU.format("General", "3"), ["GPL-3.0"]), (GNU.format("Affero General", "3"), ["AGPL-3.0"]), (GNU.format("Lesser General", "2.1"), ["LGPL-2.1"]), (GNU.format("Lesser General", "3"), ["LGPL-3.0"]),
+        (TEMPLATES["BSD-2-Clause"].split("\n", 1)[1], ["BSD-2-Clause"]), (TEMPLATES["BSD-3-Clause"].split("\n", 1)[1], ["BSD-3-Clause"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("Licensed under CC BY 5.0.", []), ("Licensed under the GNU General Public License, version 4.", []),
+        (TEMPLATES["ISC"].split("\n", 1)[1], ["ISC"]), (TEMPLATES["Unlicense"].split("\n", 1)[1], ["Unlicense"]), ("SPDX-License-Identifier: EPL-2.0", ["EPL-2.0"]), ("SPDX-License-Identifier: LGPL-2.1+", ["LGPL-2.1"]),
+        ("Licensed under the Simplified BSD License.", ["BSD-2-Clause"]),
+    ],
+)
+def test_distinguishing_words_decide(text, names):
+    assert [n for n, _ in found(text)] == names
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_every_notice_is_its_own(name):
+    assert {n for n, _ in found(TEMPLATES[name])} == {name}
