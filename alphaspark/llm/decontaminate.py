@@ -22,6 +22,9 @@ UNITS = frozenset(
 _TOKEN = re.compile(r"\n|[.!?]+(?=\s|$)|\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 WORD, NAME, NUMBER, UNIT, STOP = range(5)
 MAX_ITEMS_WINDOWS = 1 << 20
+#: So many of an item's words in a row, word for word, are a leak whatever its length; so many words may be put
+#: in or left out in one place of a copy.
+VERBATIM, NEAR = 13, 16
 
 
 class Tokens(dict):
@@ -107,10 +110,11 @@ class Items:
 
     def find(self, canonical: np.ndarray, own: np.ndarray, least: float) -> list[tuple[int, int, int, int, bool, int, int]]:
         """(item_id, windows matched, windows, slots changed, exact, first, last word of the document) of each
-        item of which at least ``least`` of the windows are found in consistent slots along one alignment.
+        item of which at least ``least`` of the windows, or VERBATIM words in a row, are found in consistent slots.
 
-        A window of the document and one of the item agree as templates; both place the item at one offset.
-        Per (item, offset) the words under the item's slots must map one to one to the item's: the same number, name
+        A window of the document and one of the item agree as templates; both place the item at one offset.  Offsets
+        that follow each other within NEAR words are one copy, with words put in or left out: their windows count
+        together.  The words under the item's slots must map one to one to the item's: the same number, name
         or unit of the item always to the same of the document, and different ones to different ones.
         """
         best: dict[int, tuple] = {}
@@ -125,24 +129,41 @@ class Items:
                 continue
             where = np.repeat(hit, count)
             entry = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
-            items, offset = self.of[entry], where - self.at[entry]
-            groups, inverse, sizes = np.unique(np.stack([items, offset], 1), axis=0, return_inverse=True, return_counts=True)
-            for g, (i, o) in enumerate(groups):
-                if self.widths[i] != w or sizes[g] < least * self.windows[i]:
+            items, at = self.of[entry], self.at[entry]
+            order = np.lexsort((at, where - at, items))
+            items, at, where = items[order], at[order], where[order]
+            cuts = np.flatnonzero((np.diff(items) != 0) | (np.diff(where - at) > NEAR)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(items)], strict=True):
+                i = int(items[lo])
+                if self.widths[i] != w or hi - lo < min(least * self.windows[i], max(1, VERBATIM - w + 1)):
                     continue
-                places = np.unique(self.at[entry[inverse.ravel() == g]])
-                covered = np.unique((places[:, None] + np.arange(w)).ravel())
-                slots = covered[self.slots[i][covered]]
-                mine, theirs = own[o + slots], self.own[i][slots]
-                pairs = np.unique(np.stack([theirs, mine], 1), axis=0) if len(slots) else np.empty((0, 2), U64)
-                if len(pairs) != len(np.unique(pairs[:, 0])) or len(pairs) != len(np.unique(pairs[:, 1])):
-                    continue
-                changed = int((pairs[:, 0] != pairs[:, 1]).sum())
-                found = (self.ids[i], len(places), self.windows[i], changed, bool(changed == 0), int(o + covered[0]), int(o + covered[-1]))
-                if i not in best or (found[1], -found[3], -found[5]) > (best[i][1], -best[i][3], -best[i][5]):
+                found = self.copy(i, at[lo:hi], where[lo:hi], own, least)
+                if found and (i not in best or (found[1], -found[3], -found[5]) > (best[i][1], -best[i][3], -best[i][5])):
                     best[i] = found
         return [best[i] for i in sorted(best)]
 
+    def copy(self, i: int, at: np.ndarray, where: np.ndarray, own: np.ndarray, least: float) -> tuple | None:
+        """One entry of find() for windows ``at`` of item ``i`` found at ``where``, by offset and place, if they are a leak."""
+        w, span = self.widths[i], np.arange(self.widths[i])
+        theirs, mine, slots = self.own[i][at[:, None] + span], own[where[:, None] + span], self.slots[i][at[:, None] + span]
+        same = (theirs == mine).all(1)
+        pairs = np.unique(np.stack([theirs[slots], mine[slots]], 1), axis=0)
+        if len(pairs) != len(np.unique(pairs[:, 0])) or len(pairs) != len(np.unique(pairs[:, 1])):
+            return None
+        places = len(np.unique(at))
+        if places < least * self.windows[i] and longest_run(at[same], where[same]) + w - 1 < VERBATIM:
+            return None
+        changed = int((pairs[:, 0] != pairs[:, 1]).sum())
+        return self.ids[i], places, self.windows[i], changed, changed == 0, int(where.min()), int(where.max() + w - 1)
+
+
+def longest_run(at: np.ndarray, where: np.ndarray) -> int:
+    """The most windows in a row, of windows in order of offset and place."""
+    if not len(at):
+        return 0
+    ends = np.flatnonzero(np.append((np.diff(at) != 1) | (np.diff(where) != 1), True))
+    return int(np.diff(ends, prepend=-1).max())
+
 
 def _search(items: Items, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +180,8 @@ def _search(items: Items, least: float):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: float = 0.25, block_windows: int = MAX_ITEMS_WINDOWS) -> DataFrame:
     """Leaks of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text): doc_id, item_id, n_matched and n_windows (template
     windows of ``width`` words found, and all of the item), n_changed (slots with another value), exact,
-    first_word, last_word.  An item leaks where at least ``least`` of its windows are found, in consistent slots.
+    first_word, last_word.  An item leaks where at least ``least`` of its windows are found close together, in consistent
+    slots, or VERBATIM of its words in a row.
 
     The items are the hash table: cut by item_id into blocks of about ``block_windows`` words, so what is sent to the
     executors has a fixed size whatever the benchmark's; each block meets all documents in one pass without

@@ -82,3 +82,15 @@ def test_windows():
     canonical, own = template("a b c d e", Tokens())
     assert len(window_hashes(canonical, 3)) == 3 and len(window_hashes(canonical, 6)) == 0
     assert Items([], 8).find(canonical, own, 0.5) == []
+
+
+LONG = [f"{a}{b}" for a in "bcdfghklmn" for b in ("alo", "eru", "ima", "osa", "uti", "ane")][:59]
+
+
+def test_words_put_in_and_excerpts(spark):
+    put_in = " ".join(w + (" really" if i % 15 == 14 else "") for i, w in enumerate(LONG))
+    left_out = " ".join(w for i, w in enumerate(LONG) if i % 12 != 11)
+    excerpt, shorter = " ".join(LONG[20:33]), " ".join(LONG[20:32])
+    items = bench(spark, [(1, " ".join(LONG))])
+    got = {r["doc_id"]: (r["n_matched"], r["exact"]) for r in find_leaks(docs_of(spark, [f"x y {put_in} z", left_out, f"x {excerpt} y", f"x {shorter} y"]), items).collect()}
+    assert got == {0: (31, True), 1: (20, True), 2: (6, True)}
