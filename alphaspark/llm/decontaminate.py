@@ -25,6 +25,8 @@ MAX_ITEMS_WINDOWS = 1 << 20
 #: So many of an item's words in a row, word for word, are a leak whatever its length; so many words may be put
 #: in or left out in one place of a copy.
 VERBATIM, NEAR = 13, 16
+#: Fixed value: the share of a copy's windows that one mapping of the slots must leave in place.
+CONSISTENT = 0.9
 
 
 class Tokens(dict):
@@ -115,7 +117,9 @@ class Items:
         A window of the document and one of the item agree as templates; both place the item at one offset.  Offsets
         that follow each other within NEAR words are one copy, with words put in or left out: their windows count
         together.  The words under the item's slots must map one to one to the item's: the same number, name
-        or unit of the item always to the same of the document, and different ones to different ones.
+        or unit of the item always to the same of the document, and different ones to different ones.  Windows that
+        contradict the mapping of most slots don't count, nor do changed ones where more than a tenth contradict it;
+        windows whose own words are equal always count.
         """
         best: dict[int, tuple] = {}
         for w in self.sizes:
@@ -147,14 +151,32 @@ class Items:
         w, span = self.widths[i], np.arange(self.widths[i])
         theirs, mine, slots = self.own[i][at[:, None] + span], own[where[:, None] + span], self.slots[i][at[:, None] + span]
         same = (theirs == mine).all(1)
-        pairs = np.unique(np.stack([theirs[slots], mine[slots]], 1), axis=0)
-        if len(pairs) != len(np.unique(pairs[:, 0])) or len(pairs) != len(np.unique(pairs[:, 1])):
-            return None
+        pairs, of, counts = np.unique(np.stack([theirs[slots], mine[slots]], 1), axis=0, return_inverse=True, return_counts=True)
+        one_to_one = len(pairs) == len(np.unique(pairs[:, 0])) == len(np.unique(pairs[:, 1]))
+        good = np.ones(len(pairs), bool)
+        if not one_to_one:
+            # The mapping of most slots; equal words first where as many speak for another.
+            left, right = set(), set()
+            for k in np.lexsort((pairs[:, 0] != pairs[:, 1], -counts)):
+                good[k] = pairs[k, 0] not in left and pairs[k, 1] not in right
+                if good[k]:
+                    left.add(pairs[k, 0])
+                    right.add(pairs[k, 1])
+        fits = np.ones(slots.shape, bool)
+        fits[slots] = good[of.ravel()]
+        fits = fits.all(1)
+        everything = len(np.unique(at))
+        # Changed values that contradict each other in more than a few windows aren't a copy; equal words always are.
+        if len(np.unique(at[fits])) < CONSISTENT * everything:
+            fits = same
+        counted = fits | same
+        at, where, same, slots, theirs, mine = at[counted], where[counted], same[counted], slots[counted], theirs[counted], mine[counted]
         places = len(np.unique(at))
         if places < least * self.windows[i] and longest_run(at[same], where[same]) + w - 1 < VERBATIM:
             return None
+        pairs = np.unique(np.stack([theirs[slots], mine[slots]], 1), axis=0)
         changed = int((pairs[:, 0] != pairs[:, 1]).sum())
-        return self.ids[i], places, self.windows[i], changed, changed == 0, int(where.min()), int(where.max() + w - 1)
+        return self.ids[i], places, self.windows[i], changed, changed == 0 and places == everything, int(where.min()), int(where.max() + w - 1)
 
 
 def longest_run(at: np.ndarray, where: np.ndarray) -> int:

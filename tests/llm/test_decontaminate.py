@@ -94,3 +94,15 @@ def test_words_put_in_and_excerpts(spark):
     items = bench(spark, [(1, " ".join(LONG))])
     got = {r["doc_id"]: (r["n_matched"], r["exact"]) for r in find_leaks(docs_of(spark, [f"x y {put_in} z", left_out, f"x {excerpt} y", f"x {shorter} y"]), items).collect()}
     assert got == {0: (31, True), 1: (20, True), 2: (6, True)}
+
+
+def test_one_slot_that_contradicts_the_others(spark):
+    words = [*LONG[:20], "120", *LONG[20:40], "120", *LONG[40:], "7"]
+    item = " ".join(words)
+    second = words.copy()
+    second[41] = "121"
+    changed = [{"120": "55", "7": "9"}.get(w, w) for w in words * 3]
+    changed[-21] = "56"
+    items = bench(spark, [(1, item), (2, " ".join(f"q{w}" if i % 7 else w for i, w in enumerate(words))), (3, " ".join(words * 3))])
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_windows"], r["exact"]) for r in find_leaks(docs_of(spark, ["x y " + " ".join(second), " ".join(changed)]), items).collect()}
+    assert got[0, 1] == (47, 55, False) and got[1, 3][0] < got[1, 3][1] and not got[1, 3][2]
