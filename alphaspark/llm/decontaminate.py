@@ -55,7 +55,7 @@ def template(text: str, cache: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """(canonical, own): for each word or number its hash as a template token, and its own hash.
 
     Numbers, names (capitalised words inside a sentence) and units that follow a number become typed
-    placeholders; other words are lower-cased; punctuation and case play no part.
+    placeholders; other words are lower-cased; punctuation plays no part, and case only in what is a name (see plain()).
     """
     raw = np.fromiter(map(cache.__getitem__, _TOKEN.findall(text)), U64)
     if not len(raw):
@@ -68,6 +68,11 @@ def template(text: str, cache: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.where(place, kind, own | U64(1 << 63))[words], own[words]
 
 
+def plain(canonical: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Tokens with numbers as the only placeholders: the same however names are written and lines are broken."""
+    return np.where(canonical == NUMBER, canonical, own | U64(1 << 63))
+
+
 def window_hashes(canonical: np.ndarray, width: int) -> np.ndarray:
     n = len(canonical) - width + 1
     if n < 1:
@@ -85,19 +90,22 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], width: int) -> None:
         cache, hashes, of, at = Tokens(), [], [], []
-        self.ids, self.own, self.slots, self.width, self.widths, self.windows = [], [], [], width, [], []
+        self.ids, self.own, self.slots, self.numbers, self.width, self.widths, self.windows = [], [], [], [], width, [], []
         for item_id, text in items:
             canonical, own = template(text or "", cache)
             w = min(width, len(canonical))
             if not w:
                 continue
-            found = window_hashes(canonical, w)
-            hashes.append(found)
-            of.append(np.full(len(found), len(self.ids)))
-            at.append(np.arange(len(found)))
+            found, places = window_hashes(canonical, w), np.arange(len(canonical) - w + 1)
+            bare = window_hashes(plain(canonical, own), w)
+            other = bare != found
+            hashes.append(np.concatenate([found, bare[other]]))
+            of.append(np.full(len(hashes[-1]), len(self.ids)))
+            at.append(np.concatenate([places, places[other]]))
             self.ids.append(item_id)
             self.own.append(own)
             self.slots.append(canonical < U64(8))
+            self.numbers.append(canonical == NUMBER)
             self.widths.append(w)
             self.windows.append(len(found))
         flat = np.concatenate(hashes) if hashes else np.empty(0, U64)
@@ -114,7 +122,8 @@ class Items:
         """(item_id, windows matched, windows, slots changed, exact, first, last word of the document) of each
         item of which at least ``least`` of the windows, or VERBATIM words in a row, are found in consistent slots.
 
-        A window of the document and one of the item agree as templates; both place the item at one offset.  Offsets
+        A window of the document and one of the item agree as templates or as plain() words; both place the item at one
+        offset.  Offsets
         that follow each other within NEAR words are one copy, with words put in or left out: their windows count
         together.  The words under the item's slots must map one to one to the item's: the same number, name
         or unit of the item always to the same of the document, and different ones to different ones.  Windows that
@@ -122,20 +131,28 @@ class Items:
         windows whose own words are equal always count.
         """
         best: dict[int, tuple] = {}
+        bare = plain(canonical, own)
+        named = bool((bare != canonical).any())
         for w in self.sizes:
             grams = window_hashes(canonical, w)
             if not len(grams):
                 continue
             hit = np.flatnonzero(self.prefixes[(grams >> self.shift).view(np.int64)])
-            left, right = np.searchsorted(self.hashes, grams[hit], "left"), np.searchsorted(self.hashes, grams[hit], "right")
+            keys = grams[hit]
+            if named:
+                again = window_hashes(bare, w)
+                more = np.flatnonzero(self.prefixes[(again >> self.shift).view(np.int64)])
+                more = more[again[more] != grams[more]]
+                hit, keys = np.concatenate([hit, more]), np.concatenate([keys, again[more]])
+            left, right = np.searchsorted(self.hashes, keys, "left"), np.searchsorted(self.hashes, keys, "right")
             count = right - left
             if not count.any():
                 continue
             where = np.repeat(hit, count)
             entry = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
-            items, at = self.of[entry], self.at[entry]
-            order = np.lexsort((at, where - at, items))
-            items, at, where = items[order], at[order], where[order]
+            # A pair of windows that agrees in both forms counts once.
+            items, shift, at = np.unique(np.stack([self.of[entry], where - self.at[entry], self.at[entry]], 1), axis=0).T
+            where = shift + at
             cuts = np.flatnonzero((np.diff(items) != 0) | (np.diff(where - at) > NEAR)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(items)], strict=True):
                 i = int(items[lo])
@@ -151,6 +168,9 @@ class Items:
         w, span = self.widths[i], np.arange(self.widths[i])
         theirs, mine, slots = self.own[i][at[:, None] + span], own[where[:, None] + span], self.slots[i][at[:, None] + span]
         same = (theirs == mine).all(1)
+        # Where all but the numbers is equal, names and units stand for themselves.
+        numbers = self.numbers[i][at[:, None] + span]
+        slots = np.where(((theirs == mine) | numbers).all(1)[:, None], numbers, slots)
         pairs, of, counts = np.unique(np.stack([theirs[slots], mine[slots]], 1), axis=0, return_inverse=True, return_counts=True)
         one_to_one = len(pairs) == len(np.unique(pairs[:, 0])) == len(np.unique(pairs[:, 1]))
         good = np.ones(len(pairs), bool)

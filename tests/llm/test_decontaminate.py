@@ -106,3 +106,11 @@ def test_one_slot_that_contradicts_the_others(spark):
     items = bench(spark, [(1, item), (2, " ".join(f"q{w}" if i % 7 else w for i, w in enumerate(words))), (3, " ".join(words * 3))])
     got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_windows"], r["exact"]) for r in find_leaks(docs_of(spark, ["x y " + " ".join(second), " ".join(changed)]), items).collect()}
     assert got[0, 1] == (47, 55, False) and got[1, 3][0] < got[1, 3][1] and not got[1, 3][2]
+
+
+def test_names_however_they_are_written(spark):
+    text = "Yesterday Anna took Ben and Carla from Boston to Denver while Dora and Emil met Frank near Geneva with Hugo for Ivan and Judy"
+    words = text.split()
+    texts = [text.lower(), text.upper(), "\n".join(words), "\n".join(" ".join(words[i : i + 3]) for i in range(0, len(words), 3)), text.title(), text.replace("Boston", "Austin"), " ".join(words[::-1])]
+    got = {r["doc_id"]: (r["exact"], r["n_changed"]) for r in find_leaks(docs_of(spark, texts), bench(spark, [(1, text)])).collect()}
+    assert got == {**{i: (True, 0) for i in range(5)}, 5: (False, 1)}
