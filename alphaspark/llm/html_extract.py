@@ -17,9 +17,13 @@ from .common import chunks
 
 #: Fixed values of HTML: elements without content, with raw content, inside a line, and never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture audio video".split())
-HIDDEN = frozenset("head script style textarea title noscript iframe template svg math xmp noembed noframes form button select option datalist input nav object canvas dialog".split())
+RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture audio video".split()) | frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+#: Fixed values of HTML: what may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+HIDDEN = frozenset("head script style textarea title noscript iframe template svg xmp noembed noframes form button select option datalist input nav object canvas dialog".split())
 #: Fixed values of HTML: a start tag of the first ends an open element of the second.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}}
@@ -94,6 +98,8 @@ def parse(page: str) -> Node:
 
     def put(text: str) -> None:
         if text:
+            if at.tag == "head" and not text.isspace():
+                close(0)
             at.kids.append(text)
             bare = len(text) - text.count(" ")
             if bare:
@@ -123,6 +129,10 @@ def parse(page: str) -> Node:
                 if name in INLINE and open_[i][0] not in INLINE:
                     break
             continue
+        if at.tag == "head" and name not in IN_HEAD and name != "html":
+            close(0)
+        if name == "head" and (open_ or root.chars or root.tags or any(type(k) is Node for k in root.kids)):
+            continue
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}", re.I).search(page, pos)
             pos = stop.start() if stop else n
@@ -150,6 +160,8 @@ def parse(page: str) -> Node:
             at.tags += 1
         elif name in INLINE:
             at.tags += 1
+            if name in ("mtd", "mtr"):
+                put(" ")
             open_.append((name, at))
             links += name == "a"
         else:
@@ -188,6 +200,10 @@ def node_features(root: Node) -> tuple[list[Node], np.ndarray]:
                 longest = max(longest, s[6])
         sums[id(x)] = [*t, longest]
     all_ = sums[id(root)]
+    for x in nodes:
+        # A form around the page, with sentences, is a plain container; its controls stay hidden.
+        if x.tag == "form" and not x.mark and 2 * sums[id(x)][0] > all_[0] and sums[id(x)][3] > 1:
+            x.tag, x.groups = "div", x.groups & ~(1 << _GROUP["form"])
     out = np.zeros((len(nodes), FEATURES), np.float32)
     above: dict[int, int] = {}
     log, a, g = np.log1p, len(TAGS), 2 * len(TAGS)

@@ -77,3 +77,24 @@ def test_forest_learns_and_normalises():
     forest = fit_forest(x, y, 3, rounds=15)
     shares = forest.log_shares(x)
     assert (shares.argmax(1) == y).mean() > 0.97 and np.allclose(np.exp(shares).sum(1), 1)
+
+
+ARTICLE = extract([PAGE], trained())[0]
+
+
+def test_a_head_without_an_end():
+    assert extract([PAGE.replace("</head><body>", "").replace("</body></html>", "")], trained()) == [ARTICLE]
+    assert [k.tag for k in parse("<head><meta charset=x><title>T</title><p>a</p><p>b").kids] == ["head", "p", "p"]
+    assert "loose text" in parse("<head><title>T</title> loose text").kids[-1]
+
+
+def test_a_form_around_the_page():
+    page = PAGE.replace("<form>", "<div class=search>").replace("</form>", "</div>")
+    form = page.replace("<body>", '<body><form method="post" action="./x.aspx" id="aspnetForm">').replace("</body>", "</form></body>").replace("</article>", "<select><option>One option</select><button>Send</button></article>")
+    assert extract([form], trained()) == [ARTICLE]
+    assert extract(["<body><form id=login>Name <input name=n> <button>Send</button></form></body>"], trained()) == [""]
+
+
+def test_formulas_stay_in_their_line():
+    formula = '<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="application/x-tex">E=mc^2</annotation></semantics></math>'
+    assert extract([PAGE.replace("It goes on for a while", f"It goes on with {formula} for a while")], trained()) == [ARTICLE.replace("It goes on for a while", "It goes on with E=mc2 for a while")]
