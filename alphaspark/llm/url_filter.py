@@ -23,29 +23,29 @@ def url_segment(url: Column) -> Column:
 
 
 def rule_intervals(changes: DataFrame) -> DataFrame:
-    """(rule, day, action, kind, category) -> one row (rule, spans) per rule; spans: [since, until) of each time it was
-    listed, in order, until null while it still is.
+    """(rule, day, action, kind, category) -> one row (rule, spans) per rule; spans: [since, until) of each time one of its
+    entries (rule, kind, category) was listed, in order, until null while it still is.
 
-    Of several changes of one rule on one day one counts, "remove" before "add" and then by kind and category; so
-    a rule has a row a day at most, and its window and its array are bounded by the calendar.  Rows without rule or
-    day, and rules that were only ever removed, list nothing.
+    Of several changes of one entry on one day one counts, "remove" before "add"; so an entry has a row a day at
+    most, and its window is bounded by the calendar.  Rows without rule or day, and entries that were only ever
+    removed, list nothing; a null kind or category is a value of its own.
     """
+    entry = ["rule", "kind", "category"]
     daily = (
         changes.where("rule IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')")
-        .groupBy(F.lower("rule").alias("rule"), F.col("day").cast("date").alias("day"))
-        .agg(F.max(F.struct("action", "kind", "category")).alias("last"))
-    )
-    spans = daily.withColumn("until", F.lead("day").over(Window.partitionBy("rule").orderBy("day"))).where("last.action = 'add'")
-    return spans.groupBy("rule").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("day").alias("since"), "until", "last.kind", "last.category"))).alias("spans")
+        .groupBy(F.lower("rule").alias("rule"), "kind", "category", F.col("day").cast("date").alias("day"))
+        .agg(F.max("action").alias("action"))
     )
+    spans = daily.withColumn("until", F.lead("day").over(Window.partitionBy(*entry).orderBy("day"))).where("action = 'add'")
+    return spans.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct(F.col("day").alias("since"), "until", "kind", "category"))).alias("spans"))
 
 
 def filter_urls(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
     """``captures`` with columns host, rule, category, blocked, by the list as it stood on the fetch day.
 
     A rule is a host, or a host and the first path segment ("a.example/en"); it holds for the host and all below
-    it.  Of the rules active on the day, the longest decides; blocked if its kind is "block" ("allow" exempts).
+    it.  Of the rules active on the day, the longest decides; blocked if one of its entries active on the day is of kind "block"
+    ("allow" exempts).  category: that of the entries that decide, several in order with commas between.
 
     Captures are reduced to their sites (host, segment) with partial sums before any shuffle; the few suffixes of
     each site meet the rules' spans by an equi-join, and each capture then looks up the spans of its site, as of
@@ -71,10 +71,15 @@ def filter_urls(captures: DataFrame, changes: DataFrame, url: str = "url", fetch
     )
     day = F.col(fetched).cast("date")
     active = lambda r: F.filter(r["spans"], lambda s: (s["since"] <= day) & (s["until"].isNull() | (day < s["until"])))
-    hits = F.transform(F.col("__rules"), lambda r: F.struct(r["rule"].alias("rule"), F.try_element_at(active(r), F.lit(1)).alias("span")))
-    verdict = F.try_element_at(F.filter(hits, lambda h: h["span"].isNotNull()), F.lit(1))
+    hits = F.transform(F.col("__rules"), lambda r: F.struct(r["rule"].alias("rule"), active(r).alias("entries")))
+    verdict = F.try_element_at(F.filter(hits, lambda h: F.size(h["entries"]) > 0), F.lit(1))
+    blocks = lambda e: F.coalesce(e["kind"] == "block", F.lit(False))
+    blocked = F.coalesce(F.exists("__v.entries", blocks), F.lit(False))
+    deciding = F.transform(F.filter("__v.entries", lambda e: blocks(e) == blocked), lambda e: e["category"])
+    categories = F.filter(F.array_sort(F.array_distinct(deciding)), lambda c: c.isNotNull())
+    category = F.when(F.size(categories) > 0, F.array_join(categories, ","))
     return (
         sited.join(found, (F.col("host") == F.col("__host")) & (F.col("__seg") == F.col("__seg2")), "left")
         .withColumn("__v", verdict)
-        .select(*taken, "host", F.col("__v.rule").alias("rule"), F.col("__v.span.category").alias("category"), F.coalesce(F.col("__v.span.kind") == "block", F.lit(False)).alias("blocked"))
+        .select(*taken, "host", F.col("__v.rule").alias("rule"), category.alias("category"), blocked.alias("blocked"))
     )

@@ -68,3 +68,15 @@ def test_long_url_and_parts(spark):
     assert filter_urls(captures(spark, [(1, url, "2024-05-01")]), changes(spark, RULES)).first()["blocked"]
     df = spark.createDataFrame([("ftp://h.x/a/b",), ("http://h.x",), ("",), (None,), ("http://h.x?q=/a",)], "u string")
     assert [tuple(r) for r in df.select(url_host(F.col("u")), url_segment(F.col("u"))).collect()] == [("h.x", "a"), ("h.x", ""), ("", ""), ("", ""), ("h.x", "")]
+
+
+def test_entries_of_one_rule_are_listed_one_by_one(spark):
+    rules = [
+        ("two.com", "2024-01-01", "add", "block", "malware"), ("two.com", "2024-01-01", "add", "block", "adult"), ("two.com", "2024-02-01", "remove", "block", "adult"),
+        ("swap.com", "2024-01-01", "add", "block", "adult"), ("swap.com", "2024-02-01", "remove", "block", "adult"), ("swap.com", "2024-02-01", "add", "block", "malware"),
+        ("both.com", "2024-01-01", "add", "allow", "fine"), ("both.com", "2024-02-01", "add", "block", None), ("both.com", "2024-03-01", "remove", "block", None),
+    ]
+    hosts, days = ("two.com", "swap.com", "both.com"), ("2024-01-15", "2024-02-15", "2024-03-15")
+    rows = [(3 * i + j, f"http://{h}/", d) for i, h in enumerate(hosts) for j, d in enumerate(days)]
+    got = {r["page_id"]: (r["category"], r["blocked"]) for r in filter_urls(captures(spark, rows), changes(spark, rules)).collect()}
+    assert [got[k] for k in range(9)] == [("adult,malware", True), ("malware", True), ("malware", True), ("adult", True), ("malware", True), ("malware", True), ("fine", False), (None, True), ("fine", False)]
