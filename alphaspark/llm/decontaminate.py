@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix
+from .common import NULL_ID, U64, chunks, mix, row_keys
 
 #: Words taken as units of measure.
 UNITS = frozenset(
@@ -210,11 +210,11 @@ def longest_run(at: np.ndarray, where: np.ndarray) -> int:
 def _search(items: Items, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Tokens()
-        for _, (k1, texts) in chunks(batches):
-            rows = [(k, *hit) for k, text in zip(k1, texts, strict=True) if text for hit in items.find(*template(text, cache), least)]
+        for _, (k1, texts, k2) in chunks(batches):
+            rows = [(k, *hit, key) for k, text, key in zip(k1, texts, k2, strict=True) if text for hit in items.find(*template(text, cache), least)]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_matched", "n_windows", "n_changed", "exact", "first_word", "last_word"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_matched", "n_windows", "n_changed", "exact", "first_word", "last_word", "k2"])
 
     return run
 
@@ -231,11 +231,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: flo
     either side leak nothing.  Repeated rows give repeated leaks; repeated items are searched one by one.
     Null ids stay null.  Empty tables: no rows.
     """
+    return leaks_by_row(docs, benchmark, width, least, block_windows).drop("k2")
+
+
+def leaks_by_row(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: float = 0.25, block_windows: int = MAX_ITEMS_WINDOWS) -> DataFrame:
+    """What find_leaks() returns, and the row's second key (see row_keys)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     words = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-words // (4 * block_windows)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = "doc_id long, item_id long, n_matched long, n_windows long, n_changed long, exact boolean, first_word long, last_word long"
+    own = F.col("doc_id").cast("long")
+    texts = docs.select(own.alias("doc_id"), "text", row_keys(own, F.col("text"))[1])
+    kinds = "doc_id long, item_id long, n_matched long, n_windows long, n_changed long, exact boolean, first_word long, last_word long, k2 long"
     found = None
     for b in range(blocks):
         block = Items([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()], width)
@@ -245,6 +251,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: flo
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which nothing leaks, all columns kept; null ids stay only where no null id leaks."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+    """The rows of ``docs`` in which nothing leaks, all columns kept; rows that share an id, or have none, go one by one."""
+    leaks = leaks_by_row(docs, benchmark, **options)
+    leaks = leaks.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = row_keys(F.col("doc_id").cast("long"), F.col("text"))
+    return docs.join(leaks, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")

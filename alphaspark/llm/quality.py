@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, staged
+from .common import chunks, row_keys, staged
 
 STATS = (
     "log_bytes", "log_words", "log_lines", "word_bytes", "line_words", "upper", "lower", "digit", "space", "period_comma",
@@ -51,17 +51,18 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, (ids, texts) in chunks(batches):
+    for part, (ids, texts, _) in chunks(batches):
         flat = np.array([statistics(t or b"") for t in texts], np.float64).reshape(len(ids), len(STATS))
         held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i in ids]
         lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), len(STATS)).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held), lists], ["doc_id", "held_out", "stats"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held), lists, part.column(2)], ["doc_id", "held_out", "stats", "k2"])
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, stats) of each row of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_measure, "doc_id long, held_out boolean, stats array<double>")
+    """(doc_id, held_out, stats, k2) of each row of ``docs`` (doc_id, text); k2 is the row's second key (see row_keys)."""
+    own = F.col("doc_id").cast("long")
+    texts = docs.select(own.alias("doc_id"), F.col("text").cast("binary").alias("text"), row_keys(own, F.col("text"))[1])
+    return texts.mapInArrow(_measure, "doc_id long, held_out boolean, stats array<double>, k2 long")
 
 
 @dataclass(frozen=True)
@@ -191,7 +192,7 @@ def _apply(model: Model | None, threshold: float):
         for batch in batches:
             stats = np.array(batch.column(2).flatten()).reshape(batch.num_rows, -1)
             score = model.score(stats) if model and batch.num_rows else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), batch.column(3)], ["doc_id", "held_out", "score", "predicted", "k2"])
 
     return run
 
@@ -204,9 +205,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     Null ids: held out by the crc32 of the empty string, never trained on.  Null or other labels than 0 and 1 are
     left out; a doc_id with several labels trains once for each.  No usable labels: every score 0.5.
     """
+    return scores_by_row(docs, labels, threshold, **options).drop("k2")
+
+
+def scores_by_row(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """What score_quality() returns, and the row's second key (see row_keys)."""
     measured = staged(measure(docs), "stats")
     known = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("y"))
     folds = options.get("folds", 3)
     train = measured.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("__id")).select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"))
     model = fit(docs.sparkSession, staged(train, "train"), **options)
-    return measured.mapInArrow(_apply(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return measured.mapInArrow(_apply(model, threshold), "doc_id long, held_out boolean, score double, predicted int, k2 long")

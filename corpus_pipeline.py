@@ -11,19 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaspark.llm.common import work_folder
+from alphaspark.llm.common import NULL_ID, row_keys, work_folder
 from alphaspark.llm.decontaminate import without_leaks
 from alphaspark.llm.line_dedup import line_dedup
 from alphaspark.llm.mixing import mix_sources
 from alphaspark.llm.near_dedup import near_duplicates
-from alphaspark.llm.quality import score_quality
+from alphaspark.llm.quality import scores_by_row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.3."""
+    """Documents whose score is at least 0.3; rows that repeat an id are judged one by one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    rejected = score_quality(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    rejected = scores_by_row(docs, labels).where("predicted = 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = row_keys(F.col("doc_id").cast("long"), F.col("text"))
+    return docs.join(rejected, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

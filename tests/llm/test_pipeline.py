@@ -67,3 +67,18 @@ def test_run_equals_its_stages(stages, spark, sf_small):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_queries_run(spark, sf_small, name):
     assert QUERIES[name](spark, sf_small).count() >= 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    kept = {r["doc_id"] for r in P.quality_stage(spark, docs, sf_small).collect()}
+    good = docs.where(docs.doc_id.isin(sorted(kept)[:5])).collect()
+    bad = [r for r in docs.collect() if r["doc_id"] not in kept][:5]
+    item = spark.read.parquet(f"{sf_small}/benchmark.parquet").first()["text"]
+    same = lambda rows, i, text=None: [(*(i if c == "doc_id" else text if text and c == "text" else r[c] for c in docs.columns),) for r in rows]
+    for i in (None, 10**9):
+        mixed = docs.where("doc_id < 0 OR doc_id > 10").unionByName(spark.createDataFrame(same(good + bad, i), docs.schema))
+        ours = P.quality_stage(spark, mixed, sf_small).where("doc_id IS NULL" if i is None else f"doc_id = {i}")
+        assert sorted(r["text"] for r in ours.collect()) == sorted(r["text"] for r in good)
+        leaky = spark.createDataFrame(same(good, i) + same(good[:1], i, item), docs.schema)
+        assert sorted(r["text"] for r in P.decontamination_stage(spark, leaky, sf_small).collect()) == sorted(r["text"] for r in good)
