@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,8 +20,11 @@ U64 = np.uint64
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set, as in tests."""
+    """The shared folder of the cluster.  Where none is set, as in tests, one of our own if all of Spark runs in this process; on a
+    cluster executors can't read each other's folders, so there it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return root or f"file://{tempfile.gettempdir()}/alphaspark-staged"
 
 
@@ -47,12 +51,28 @@ def work_folder(spark: SparkSession) -> str:
 def row_keys(doc_id: Column, text: Column) -> list[Column]:
     """Two longs, never null, that name a row: its id and a hash of id and text.
     Repeated rows share them, and so do all results that depend on the row's contents."""
-    return [F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(doc_id, text).alias("k2")]
-
-
-def clear_names(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the columns an operator works with, so that further ones can't clash with its own."""
-    return df.select(*wanted)
+    own = doc_id.cast("long")
+    return [F.coalesce(own, F.lit(NULL_ID)).alias("k1"), F.xxhash64(own, text).alias("k2")]
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, changed where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) whose row_keys() aren't among ``gone`` (doc_id, k2)."""
+    a, b = fresh_names(docs, "__k1", "__k2")
+    keys = gone.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(a), F.col("k2").alias(b)).distinct()
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    return docs.join(keys, (k1 == F.col(a)) & (k2 == F.col(b)), "left_anti")
 
 
 def chunks(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
