@@ -45,6 +45,10 @@ TOKENS = {
 }
 _GROUP = {t: i for i, words in enumerate(TOKENS.values()) for t in words.split()}
 N_GROUPS = len(TOKENS)
+#: Groups that make an element of a line a node, for the forest to judge.
+_APART = sum(1 << list(TOKENS).index(g) for g in ("advert", "notice", "talk", "social"))
+#: Attributes that can make an element of a line a node.
+_TELLING = re.compile(r"class|id|role|itemprop|hidden|style|data-y", re.I)
 CONTENT, BOILERPLATE, MIXED = range(3)
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
@@ -75,26 +79,54 @@ def attribute_groups(raw: str) -> tuple[int, str]:
                     bits |= 1 << _GROUP[t]
         elif name == "data-y":
             mark = value
-        elif name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        elif name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             mark = mark or "hidden"
     return bits, mark
 
 
 def parse(page: str) -> Node:
-    """The tree of block elements below a root; text and a line's markup are strings in their block (links
-    counted), a space for <br>.  Unclosed and stray tags are mended as browsers do."""
+    """The tree of elements below a root; text and a line's markup are strings in their block (links counted), a space
+    for <br>.  A line's elements are nodes where they are hidden or their class, id or role names adverts, notices, talk
+    or sharing.  Unclosed and stray tags are mended as browsers do, in linear time: what is open is counted by name, in all,
+    since the last block (for the line's elements) and since the last container (for what a start tag closes)."""
     root = at = Node("body", None)
     open_: list[tuple[str, Node]] = []
+    in_all: dict[str, int] = {}
+    in_line: list[dict[str, int]] = [{}]
+    in_scope: list[dict[str, int]] = [{}]
     links = 0
     pos, n = 0, len(page)
 
+    def open_one(tag: str) -> None:
+        open_.append((tag, at))
+        in_all[tag] = in_all.get(tag, 0) + 1
+        in_scope[-1][tag] = in_scope[-1].get(tag, 0) + 1
+        if tag in SCOPE:
+            in_scope.append({})
+        if tag in INLINE:
+            in_line[-1][tag] = in_line[-1].get(tag, 0) + 1
+        else:
+            in_line.append({})
+
     def close(until: int) -> None:
         nonlocal at, links
         while len(open_) > until:
-            tag, up = open_.pop()
-            if tag == "a":
-                links -= 1
-            at = up
+            tag, at = open_.pop()
+            links -= tag == "a"
+            in_all[tag] -= 1
+            if tag in SCOPE:
+                in_scope.pop()
+            in_scope[-1][tag] -= 1
+            if tag in INLINE:
+                in_line[-1][tag] -= 1
+            else:
+                in_line.pop()
+
+    def close_last(tags: set[str]) -> None:
+        i = len(open_) - 1
+        while open_[i][0] not in tags:
+            i -= 1
+        close(i)
 
     def put(text: str) -> None:
         if text:
@@ -122,12 +154,8 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if end:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    close(i)
-                    break
-                if name in INLINE and open_[i][0] not in INLINE:
-                    break
+            if (in_line[-1] if name in INLINE else in_all).get(name):
+                close_last({name})
             continue
         if at.tag == "head" and name not in IN_HEAD and name != "html":
             close(0)
@@ -148,11 +176,8 @@ def parse(page: str) -> Node:
             continue
         if name in CLOSES_P or name in CLOSES:
             targets = CLOSES.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] in targets:
-                    close(i)
-                elif open_[i][0] in SCOPE and open_[i][0] not in targets:
-                    break
+            while any(in_scope[-1].get(t) for t in targets):
+                close_last(targets)
         if name in ("br", "hr", "wbr"):
             put(" ") if name != "wbr" else None
             at.tags += 1
@@ -162,23 +187,28 @@ def parse(page: str) -> Node:
             at.tags += 1
             if name in ("mtd", "mtr"):
                 put(" ")
-            open_.append((name, at))
+            open_one(name)
             links += name == "a"
+            bits, mark = attribute_groups(raw) if _TELLING.search(raw) else (0, "")
+            if mark or bits & _APART:
+                node = Node(name, at, bits, mark)
+                at.kids.append(node)
+                at = node
         else:
             bits, mark = attribute_groups(raw) if raw.strip() else (0, "")
             node = Node(name, at, bits, mark)
             at.kids.append(node)
-            open_.append((name, at))
+            open_one(name)
             at = node
     return root
 
 
-FEATURES = len(TAGS) * 2 + 2 * N_GROUPS + 17
+FEATURES = len(TAGS) * 2 + 3 * N_GROUPS + 17
 
 
 def node_features(root: Node) -> tuple[list[Node], np.ndarray]:
-    """All nodes in page order and their features: tag, parent's tag, attribute tokens of the node and of all
-    above it, depth, place among siblings, and text, links, stops and density of subtree, parent and page."""
+    """All nodes in page order and their features: tag, parent's tag, attribute tokens of the node, of all above it and of
+    the sibling behind it, depth, place among siblings, and text, links, stops and density of subtree, parent and page."""
     nodes: list[Node] = []
     stack = [root]
     while stack:
@@ -189,7 +219,12 @@ def node_features(root: Node) -> tuple[list[Node], np.ndarray]:
             k.place = i
         stack.extend(reversed(own))
     sums: dict[int, list[int]] = {}
+    many: dict[int, int] = {}
+    behind: dict[int, int] = {}
     for x in reversed(nodes):
+        own = [k for k in x.kids if type(k) is Node]
+        many[id(x)] = len(own)
+        behind.update((id(a), b.groups) for a, b in zip(own, own[1:]))
         t = [x.chars, x.link_chars, x.words, x.stops, x.tags + 1, x.tag == "p"]
         longest = x.chars
         for k in x.kids:
@@ -217,25 +252,19 @@ def node_features(root: Node) -> tuple[list[Node], np.ndarray]:
         su = sums[id(up)] if up else s
         if up:
             out[i, a + _TAG.get(up.tag, a - 1)] = 1
-        j = 0
-        while bits:
-            if bits & 1:
-                out[i, g + j] = 1
-            bits >>= 1
-            j += 1
-        j = 0
-        while over:
-            if over & 1:
-                out[i, g + N_GROUPS + j] = 1
-            over >>= 1
-            j += 1
+        for start, named in ((g, bits), (g + N_GROUPS, over), (g + 2 * N_GROUPS, behind.get(id(x), 0))):
+            while named:
+                if named & 1:
+                    out[i, start] = 1
+                named >>= 1
+                start += 1
         kids = len(x.kids)
         numbers[i] = (
-            x.depth, x.place, sum(1 for k in up.kids if type(k) is Node) if up else 1, kids, s[0], s[2], s[3], s[4], s[5], x.chars, s[1] / max(1, s[0]), s[3] / max(1, s[2]),
+            x.depth, x.place, many[id(up)] if up else 1, kids, s[0], s[2], s[3], s[4], s[5], x.chars, s[1] / max(1, s[0]), s[3] / max(1, s[2]),
             s[0] / s[4], s[0] / max(1, all_[0]), s[0] / max(1, su[0]), s[6] / max(1, s[0]), s[5] / max(1, all_[5]),
         )
     numbers[:, 2:10] = log(numbers[:, 2:10])
-    out[:, g + 2 * N_GROUPS :] = numbers
+    out[:, g + 3 * N_GROUPS :] = numbers
     return nodes, out
 
 
@@ -266,20 +295,24 @@ def blocks_of(root: Node, state: dict[int, int]) -> list[str]:
             out.append(text)
         line.clear()
 
-    stack: list[Node | str | None] = [root]
+    # After a node's kids, how it ends: None for a block, False for an element of a line.
+    stack: list[Node | str | bool | None] = [root]
     keep = [False]
     while stack:
         x = stack.pop()
-        if x is None:
-            flush()
+        if not x and x != "":
+            if x is None:
+                flush()
             keep.pop()
         elif type(x) is str:
             if keep[-1]:
                 line.append(x)
         else:
-            flush()
+            inside = x.tag in INLINE
+            if not inside:
+                flush()
             keep.append(state[id(x)] == CONTENT)
-            stack.append(None)
+            stack.append(False if inside else None)
             stack.extend(reversed(x.kids))
     return out
 
@@ -325,7 +358,7 @@ def _extract(forest: Forest):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html).
 
-    The whole html is parsed; each block element gets a share for content, boilerplate and mixed from the forest; states
+    The whole html is parsed; each block element, and each hidden or telling element of a line, gets a share for content, boilerplate and mixed from the forest; states
     without contradictions are chosen from the root down, and the blocks of content nodes are joined by
     newlines.  Null or empty html, and pages without content: empty text.  Other columns don't matter,
     repeated rows are treated one by one, no rows give no rows.

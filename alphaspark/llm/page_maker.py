@@ -39,9 +39,20 @@ def link_list(r: np.random.Generator) -> str:
     return f"<ul>{items}</ul>" if r.random() < 0.8 else " | ".join(f'<a href="/{_word(r)}">{words(r, 1, 2)}</a>' for _ in range(int(r.integers(2, 8))))
 
 
+def in_line(r: np.random.Generator) -> str:
+    """An element of a line that isn't of the text, by its class."""
+    name = _pick(r, "ad", "ads", "ad-label", "advert", "sponsored", "promo", "share", "social", "share-count", "like", "newsletter", "comment-count", "reply", "notice", "subscribe")
+    tag = _pick(r, "span", "span", "small", "em", "b", "a")
+    return f'<{tag} data-y="b" {_pick(r, "class", "class", "id")}="{name}">{words(r, 1, 5)}</{tag}>'
+
+
 def paragraph(r: np.random.Generator) -> str:
     kind = r.random()
     text = sentences(r, 1, 9) if r.random() < 0.85 else words(r, 1, 3).capitalize() + "."
+    if r.random() < 0.06:
+        text = f"{text} {in_line(r)} {sentences(r, 0, 2)}"
+    if r.random() < 0.02:
+        return f'<pre><code>{words(r, 2, 12)} <span class="comment">{words(r, 1, 6)}</span> {words(r, 0, 9)}</code></pre>'
     if kind < 0.12:
         return f"<p><b>{text}<br>"
     if kind < 0.2:
@@ -71,7 +82,7 @@ def boilerplate(r: np.random.Generator, inside: bool = False) -> str:
         "share": lambda: f'<div{y} class="{_pick(r, "share", "social-links", "sharing", "follow")}">{link_list(r)}',
         "related": lambda: f'<{_pick(r, "div", "aside", "section")}{y}{_attrs(r, "related", "recommended", "more-stories", "popular")}><h3>{words(r, 1, 3)}</h3>{link_list(r)}',
         "notice": lambda: f'<div{y} class="{_pick(r, "cookie-notice", "notice", "alert", "newsletter", "popup", "consent", "subscribe", "disclaimer")}"><p>{sentences(r, 1, 4)}</p><button>{words(r, 1, 2)}</button>',
-        "comments": lambda: f'<{_pick(r, "div", "section", "ol")}{y} {_pick(r, "id", "class")}="{_pick(r, "comments", "comment-list", "discussion", "replies", "respond")}">' + "".join(f'<{_pick(r, "div", "article", "li")}{_attrs(r, "comment", "reply")}><p>{sentences(r, 1, 4)}</p></div>' for _ in range(int(r.integers(1, 6)))),
+        "comments": lambda: f'<{_pick(r, "div", "section", "ol")}{y} {_pick(r, "id", "class")}="{_pick(r, "comments", "comment-list", "discussion", "replies", "respond")}">' + _pick(r, "", f"<h2>{words(r, 1, 2)}</h2>", f"<h3>{words(r, 1, 3)}</h3>") + "".join(f'<{_pick(r, "div", "article", "li")}{_attrs(r, "comment", "reply")}><p>{sentences(r, 1, 4)}</p></div>' for _ in range(int(r.integers(1, 6)))),
         "form": lambda: f'<form{y}{_attrs(r, "search", "login", "contact")}>{words(r, 1, 4)}<input name=q><button>{words(r, 1, 1)}</button><p>{sentences(r, 1, 1)}</p>',
         "byline": lambda: f'<div{y} class="{_pick(r, "meta", "byline", "author", "tags")}">{words(r, 2, 5)} <a href=x>{words(r, 1, 2)}</a>',
         "nav": lambda: f'<{_pick(r, "nav", "nav", "div", "ul", "div")}{y}{_attrs(r, "nav", "menu", "navbar", "main-menu", "breadcrumbs", "pagination")}>{link_list(r)}',
@@ -81,6 +92,7 @@ def boilerplate(r: np.random.Generator, inside: bool = False) -> str:
         "foot_div": lambda: f'<div{y} {_pick(r, "id", "class")}="{_pick(r, "footer", "copyright", "legal", "site-footer")}"><p>&copy; {words(r, 1, 3)} {sentences(r, 1, 3)}</p>',
         "sidebar": lambda: f'<{_pick(r, "aside", "div")}{y} {_pick(r, "id", "class")}="{_pick(r, "sidebar", "side", "widget-area", "rail", "secondary sidebar")}"><h3>{words(r, 1, 3)}</h3><p>{sentences(r, 1, 4)}</p>{link_list(r) if r.random() < 0.7 else ""}',
         "bare_header": lambda: f'<header{y}><a href="/">{words(r, 1, 4)}</a>',
+        "titled_header": lambda: f'<header{y}{_attrs(r, "header", "top")}><{(h := _pick(r, "h1", "h2", "p"))}>{words(r, 1, 4).title()}</{h}>{_pick(r, "", "", f"<p>{words(r, 2, 8)}</p>")}',
         "line": lambda: f'<p{y} class="{_pick(r, "notice", "ad", "copyright", "meta", "share", "cookie", "warning", "sponsored")}">{sentences(r, 1, 2)}',
         "nested": lambda: f'<div{y} {_pick(r, "id", "class")}="{_pick(r, "header", "footer", "sidebar", "comments", "nav", "notice", "ads", "login-form")}"><div{_attrs(r, "inner", "container", "wrap")}><p>{sentences(r, 1, 5)}</p></div><p>{words(r, 1, 6)}</p>',
         "aside": lambda: f"<aside{y}><h4>{words(r, 1, 3)}</h4><p>{sentences(r, 1, 3)}</p>",
@@ -88,7 +100,8 @@ def boilerplate(r: np.random.Generator, inside: bool = False) -> str:
     name = _pick(r, *(("ad", "share", "related", "notice", "comments", "byline", "form", "nav", "aside", "line") if inside else tuple(kinds)))
     made = kinds[name]()
     tag = made[1 : made.index(" ")]
-    return f"{made}</{tag}>"
+    heading = f"<{(h := _pick(r, 'h2', 'h3', 'h4'))}{y}>{words(r, 1, 3)}</{h}>" if name in ("comments", "related") and r.random() < 0.4 else ""
+    return f"{heading}{made}</{tag}>"
 
 
 def make_page(r: np.random.Generator) -> str:
@@ -100,7 +113,9 @@ def make_page(r: np.random.Generator) -> str:
     for _ in range(int(r.choice([0, 0, 0, 1, 2]))):
         parts.insert(int(r.integers(0, len(parts) + 1)), boilerplate(r, inside=True))
     title = f"<h1>{words(r, 1, 12)}</h1>"
-    lead = _pick(r, title, title, f"<header>{title}</header>", "")
+    if tag in ("section", "main", "div") and r.random() < 0.25:
+        name = f'{_pick(r, "", name)} role="main"'
+    lead = _pick(r, title, title, f"<header>{title}</header>", f'<header class="{_pick(r, "entry-header", "post-header", "article-header")}">{title}</header>', "")
     body = f'<{tag}{name} data-y="c">{lead}{"".join(parts)}</{tag}>'
     for _ in range(int(r.choice([0, 0, 1, 2]))):
         body = f'<{_pick(r, "div", "main", "section")}{_attrs(r, "wrapper", "container", "page", "content", "layout")} data-y="m">{"".join(boilerplate(r) for _ in range(int(r.choice([0, 1]))))}{body}{"".join(boilerplate(r) for _ in range(int(r.choice([0, 1, 2]))))}</div>'

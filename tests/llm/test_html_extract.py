@@ -98,3 +98,59 @@ def test_a_form_around_the_page():
 def test_formulas_stay_in_their_line():
     formula = '<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="application/x-tex">E=mc^2</annotation></semantics></math>'
     assert extract([PAGE.replace("It goes on for a while", f"It goes on with {formula} for a while")], trained()) == [ARTICLE.replace("It goes on for a while", "It goes on with E=mc2 for a while")]
+
+
+def in_article(line: str) -> str:
+    return extract([PAGE.replace("It goes on for a while", line)], trained())[0]
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ('It goes<span style="display: none"> secretly</span> on', "It goes on"),
+        ("It goes <em hidden>not shown </em>on", "It goes on"),
+        ('It goes <b aria-hidden="true">icon</b> on', "It goes on"),
+        ('It goes <span class="ad">buy shoes</span> on', "It goes on"),
+        ('It goes <small class="sponsored">by a sponsor <b>of note</b></small> on', "It goes on"),
+        ('It goes <span class="note">with a note</span> on', "It goes with a note on"),
+        ('It <a class="link" href="/x">goes <i>far</i></a> on', "It goes far on"),
+    ],
+)
+def test_elements_of_a_line(line, want):
+    assert in_article(line) == ARTICLE.replace("It goes on for a while", want)
+
+
+#: Pages in the manner of common site builders, and what a reader would call the article.
+SITES = {
+    "weblog": (
+        '<html><head><title>x</title></head><body class="home blog"><div id="page" class="site"><header id="masthead" class="site-header"><h1 class="site-title"><a href="/">The Daily Pear</a></h1><nav class="main-navigation"><ul class="menu"><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav></header><div id="content" class="site-content"><main id="main"><article class="post hentry"><header class="entry-header"><h1 class="entry-title">Pears are back</h1></header><div class="entry-content"><p>Pears came back this spring, after three dry years. Farmers were glad.</p><p>The <a class="link" href="#">first trees</a> were planted in 1920, by hand.</p><blockquote><p>It was hard work.</p></blockquote></div></article><div id="comments" class="comments-area"><h2>2 thoughts</h2><ol class="comment-list"><li class="comment"><p>Nice.</p></li></ol></div></main></div><aside id="secondary" class="widget-area"><section class="widget"><h2>Archives</h2><ul><li><a href="#">May</a></li></ul></section></aside><footer class="site-footer"><div>Proudly powered</div></footer></div></body></html>',
+        "Pears are back\nPears came back this spring, after three dry years. Farmers were glad.\nThe first trees were planted in 1920, by hand.\nIt was hard work.",
+    ),
+    "manual": (
+        '<body><div class="navbar"><a href="/">Docs</a> <a href="/api">API</a></div><div class="container"><div class="sidebar"><ul><li><a href=1>Install</a></li><li><a href=2>Use</a></li></ul></div><div class="content" role="main"><h1>Installing</h1><p>Run the installer, then restart. It takes a minute.</p><pre>make all</pre><ul><li>Linux is supported.</li><li>So is BSD.</li></ul><p>Ask for help if it fails, we answer quickly.</p></div></div><div class="footer">Last updated today</div></body>',
+        "Installing\nRun the installer, then restart. It takes a minute.\nmake all\nLinux is supported.\nSo is BSD.\nAsk for help if it fails, we answer quickly.",
+    ),
+    "news": (
+        '<body><div class="cookie-consent"><p>We use cookies. <button>OK</button></p></div><div id="top-bar"><a href=/>News</a></div><div class="layout"><div class="story"><h1>Storm hits coast</h1><p class="byline">By <span class="author">A. Writer</span></p><p>A storm hit the coast on Monday, officials said. No one was hurt.</p><div class="ad-slot">Advertisement</div><p>Roads were closed for hours, and trains stopped. Repairs go on.</p><div class="related"><h3>Related</h3><ul><li><a href=1>Old storm</a></li><li><a href=2>Older storm</a></li></ul></div><p>Schools open again on Friday, the mayor said.</p></div><div class="rail"><h4>Most read</h4><ol><li><a href=x>One</a></li><li><a href=x>Two</a></li></ol></div></div><div class="legal">All rights reserved.</div></body>',
+        "Storm hits coast\nA storm hit the coast on Monday, officials said. No one was hurt.\nRoads were closed for hours, and trains stopped. Repairs go on.\nSchools open again on Friday, the mayor said.",
+    ),
+    "bare header": (
+        '<body><header><h1>My Site</h1></header><section role="main"><h2>A real title</h2><p>First paragraph of the story, with enough words to be a paragraph. It goes on.</p><p>Second paragraph of the story, also with enough words. And on.</p><h2>Comments</h2><div class="comments"><p>I like it a lot.</p></div></section><footer>Copyright My Site</footer></body>',
+        "A real title\nFirst paragraph of the story, with enough words to be a paragraph. It goes on.\nSecond paragraph of the story, also with enough words. And on.",
+    ),
+}
+
+
+@pytest.mark.parametrize("site", list(SITES))
+def test_pages_that_no_maker_made(site):
+    page, want = SITES[site]
+    assert extract([page], trained()) == [want]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30_000 + "</i>" * 30_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000, "<b>" * 20_000 + "<p>x" * 20_000, "<li>" * 20_000 + "</td>" * 20_000])
+def test_stray_tags_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    extract([page], trained())
+    assert time.process_time() - start < 20
