@@ -13,7 +13,8 @@ from ..functions.axes import AXES, Axes
 
 @dataclass(frozen=True)
 class Operator:
-    """``build(*series, window, axes=..., **options)``; no window for scalar and cross-sectional operators."""
+    """``build(*series, window, axes=..., **options)``; no window for scalar and cross-sectional operators.  ``bounded``: a rolling
+    operator that reads no more rows than its window tells."""
 
     name: str
     kind: str  # scalar, rolling or cross
@@ -21,6 +22,7 @@ class Operator:
     build: Callable[..., Column]
     window: bool = False
     semantics: str = ""
+    bounded: bool = False
 
     def __call__(self, *args, axes: Axes = AXES, **options) -> Column:
         wanted = self.n_series + self.window
@@ -70,7 +72,7 @@ OPERATORS = OperatorRegistry()
 
 def _add(kind: str, n_series: int, window: bool, **builders: Callable[..., Column]) -> None:
     for name, build in builders.items():
-        OPERATORS.register(Operator(name, kind, n_series, build, window, (build.__doc__ or "").strip()))
+        OPERATORS.register(Operator(name, kind, n_series, build, window, (build.__doc__ or "").strip(), build is not rolling.ema))
 
 
 _add("scalar", 1, False, Abs=scalar.absolute, Sign=scalar.sign, Log=scalar.log, LogN=scalar.log_n, Sqrt=scalar.sqrt, Square=scalar.square, Power=scalar.power, Exp=scalar.exp)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cross, rolling, scalar
 from ..functions.axes import AXES, Axes
-from ..operators import OPERATORS
+from ..operators import OPERATORS, Operator
 from .parser import Node
 
 MODES = ("sql", "strict")
@@ -123,14 +124,42 @@ def partial_pair(name: str, x: Column, y: Column, n: int, axes: Axes) -> Column:
     return rolling.corr_over(xm, ym, w)
 
 
-def reach(node: Node) -> int:
-    """Rows before a row that its value may depend on, at most (0: none; exponential means count what they cut at)."""
-    inner = max([reach(c) for c in node.children], default=0)
+def reach_levels(node: Node) -> tuple[float, ...]:
+    """A symbol's rows before a row that its value may depend on, at most, cut where values of a date meet: first those of the
+    symbol itself, then, before the earliest of these, those of the names it is ranked with, and so on.  Infinite for
+    exponential means and other operators without a window."""
+    inner: tuple[float, ...] = (0,)
+    for child in node.children:
+        other = reach_levels(child)
+        size = max(len(inner), len(other))
+        inner = tuple(max(a, b) for a, b in zip(inner + (0,) * (size - len(inner)), other + (0,) * (size - len(other)), strict=True))
     if node.kind != "call":
         return inner
-    numbers = [int(float(c.value)) for c in node.children if c.kind == "literal"]
     name = _ALIASES.get(str(node.value).lower(), str(node.value).lower())
-    own = {"ref": 1, "delta": 1}.get(name, 10 if name == "ts_rank" else 20 if name in (*_ROLLING, "count", "corr", "cov") else 0)
-    if name in ("log", "abs", "sign", "sqrt", "power", "rank", "iif"):
-        return inner
-    return inner + (numbers[-1] if numbers else own)
+    operator = OPERATORS.get(str(node.value)) if str(node.value) in OPERATORS else None
+    if name == "rank" or (name not in _BUILT_IN and operator and operator.kind == "cross"):
+        return (0, *inner)
+    return (inner[0] + _own_reach(name, node, operator), *inner[1:])
+
+
+_BUILT_IN = {"log", "abs", "sign", "sqrt", "power", "iif", "ref", "delta", "count", "rank", "ts_rank", "corr", "cov", *_ROLLING}
+
+
+def _own_reach(name: str, node: Node, operator: Operator | None) -> float:
+    last = node.children[-1] if node.children else None
+    number = int(float(last.value)) if last is not None and last.kind == "literal" else None
+    if name in ("log", "abs", "sign", "sqrt", "power", "iif"):
+        return 0
+    if name in ("ref", "delta"):
+        # A literal with a minus is another kind of node, and looks ahead.
+        return number if len(node.children) > 1 and number is not None else 1 if len(node.children) == 1 else 0
+    if name in _BUILT_IN:
+        return number if number is not None else 10 if name == "ts_rank" else 20
+    if operator is None or operator.kind == "scalar":
+        return 0
+    return math.inf if not operator.bounded else number or 0
+
+
+def reach(node: Node) -> float:
+    """Rows before a row that its value may depend on, at most."""
+    return sum(reach_levels(node))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.axes import Axes
-from .compiler import Compiler, reach
+from .compiler import Compiler, reach_levels
 from .parser import FIELDS, Node, parse
 
 
@@ -19,7 +20,8 @@ class ExprEngine:
     ``universe``: none, the name of a pool in ``instruments`` (pool_id, stock_code, entry_date, exit_date),
     a query text of one column of symbols, or a DataFrame whose first column has them.  Membership is tested on the date of
     each row and before any window, so windows count member days only.  ``lookback`` reads the rows before ``start``
-    that the windows reach into, and drops them afterwards; without it windows begin at ``start``.
+    that the windows reach into, counted by symbol, and drops them afterwards, so values are those of the full history;
+    without it windows begin at ``start``.
     """
 
     spark: SparkSession
@@ -62,16 +64,32 @@ class ExprEngine:
         member = (F.col(self.symbol) == F.col("__member")) & (day >= F.col("__entry")) & (F.col("__exit").isNull() | (day <= F.col("__exit")))
         return df.join(pool, member, "left_semi")
 
+    def _first_needed(self, levels: tuple[float, ...], start: str, end: str | None, universe: str | DataFrame | None) -> str | None:
+        """The first date that rows from ``start`` on depend on, None for all dates.  Rows are counted by symbol, since a
+        suspended one has fewer than the market has dates: for each level, so many rows of each symbol that is
+        there on the date reached or later."""
+        if math.inf in levels:
+            return None
+        rows = self.base(None, end, universe).select(self.date, self.symbol)
+        first = start
+        for n in levels:
+            if n:
+                day = F.lit(first).cast("date")
+                there = rows.where(F.col(self.date) >= day).select(self.symbol).distinct()
+                before = rows.where(F.col(self.date) < day).join(there, self.symbol, "left_semi")
+                latest = Window.partitionBy(self.symbol).orderBy(F.col(self.date).desc())
+                found = before.withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= int(n)).agg(F.min(self.date)).first()[0]
+                first = str(found) if found else first
+        return first
+
     def compile(self, expression: str | Node):
         return Compiler(self.mode, self.axes).column(parse(expression) if isinstance(expression, str) else expression)
 
     def factor(self, expression: str, start: str | None = None, end: str | None = None, universe: str | DataFrame | None = None, name: str = "factor", lookback: bool = False, ordered: bool = True) -> DataFrame:
         """(date, symbol, factor) where the factor is not missing."""
         tree = parse(expression)
-        if lookback and start is not None and reach(tree):
-            days = self.base(None, end, universe).where(F.col(self.date) < F.lit(start).cast("date")).select(self.date).distinct()
-            first = days.orderBy(F.col(self.date).desc()).limit(reach(tree)).agg(F.min(self.date)).first()[0]
-            base = self.base(str(first) if first else start, end, universe)
+        if lookback and start is not None:
+            base = self.base(self._first_needed(reach_levels(tree), start, end, universe), end, universe)
         else:
             base = self.base(start, end, universe)
         value = Compiler(self.mode, self.axes).column(tree)
@@ -85,6 +103,12 @@ class ExprEngine:
         compiler = Compiler(self.mode, self.axes)
         return self.base(start, end).select(self.date, self.symbol, *[compiler.column(parse(e)).alias(n) for n, e in expressions.items()])
 
+    def batch(self, expressions: dict[str, str], start: str | None = None, end: str | None = None) -> DataFrame:
+        """(name, date, symbol, value) of several expressions where they aren't missing, from one pass over their base."""
+        wide = self.features(expressions, start, end)
+        pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").cast("double").alias("value")) for n in expressions])
+        return wide.select(self.date, self.symbol, F.explode(pairs).alias("v")).where("v.value IS NOT NULL").select("v.name", self.date, self.symbol, "v.value")
+
     def explain(self, expression: str, start: str | None = None, end: str | None = None) -> str:
         """The expression, its tree, and Spark's plan."""
         df = self.factor(expression, start, end)

@@ -12,41 +12,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, columns_map: dict[str, str] | None = None, encoding: str = "utf-8", **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, columns_map: dict[str, str] | None = None, encoding: str = "utf-8", **options) -> DataFrame:
     """A file, folder or glob with header; text columns where no schema is given.  An empty input has no columns."""
     reader = spark.read.option("header", True).option("encoding", encoding).options(**options)
     df = (reader.schema(schema) if schema is not None else reader).csv(path)
     return df.withColumnsRenamed(columns_map) if columns_map else df
 
 
-def read_source_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """As UTF-8, or as GBK where that leaves replacement characters in the header or the first rows."""
-    df = read_csv(spark, path, **options)
-    seen = "".join(df.columns) + "".join(str(v) for r in df.head(20) for v in r)
-    return read_encoded_csv(spark, path, "gbk") if "\ufffd" in seen else df
+def read_source_csv(spark: SparkSession, path: str | list[str], pattern: str | None = None, recursive: bool = False, **options) -> DataFrame:
+    """CSV files with header as text columns; each file as UTF-8, or as GBK where any line of it isn't UTF-8.  Columns are matched
+    by name.  Lines end records, as in Spark's reader without its option multiLine."""
+    chosen = {"recursiveFileLookup": recursive} | ({"pathGlobFilter": pattern} if pattern else {})
+    lines = spark.read.options(**chosen).text(path)
+    sound = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).collect()
+    broken = [r["file"] for r in sound if not r["ok"]]
+    if not broken:
+        return spark.read.options(**chosen).option("header", True).options(**options).csv(path)
+    out = read_encoded_csv(spark, broken, "gb18030", **options)
+    good = [r["file"] for r in sound if r["ok"]]
+    return read_csv(spark, good, **options).unionByName(out, allowMissingColumns=True) if good else out
 
 
-def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """CSV files with header in an encoding that Spark's reader lacks, as text columns: Python decodes, file by file."""
+def read_encoded_csv(spark: SparkSession, path: str | list[str], encoding: str, **options) -> DataFrame:
+    """CSV files with header in an encoding that Spark's reader lacks, as text columns: Python decodes lines, wherever files are
+    split, and the JVM reads their fields.  Files of one header are read together.  For encodings in which the byte of a
+    newline is nothing else; a byte that can't be read raises."""
 
-    def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                head, *rows = content.decode(encoding, "replace").lstrip("\ufeff").splitlines() or [""]
-                rows = [r for r in rows if r.strip()] or [None]
-                yield pa.RecordBatch.from_arrays([pa.array([head] * len(rows)), pa.array(rows, pa.string())], ["head", "line"])
-
-    text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "head string, line string")
-    first = text.select("head").first()
-    names = next(csv.reader([first["head"]])) if first else []
-    fields = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(len(names)))))
-    return text.where("line IS NOT NULL").select(fields.alias("f")).select(*[F.col(f"f.c{i}").alias(n) for i, n in enumerate(names)])
+            texts = [(line or b"").decode(encoding) for line in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["line", "file", "start", "at"])
+
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = raw.mapInArrow(decode, "line string, file string, start long, at long")
+    # The first line of a file; ids grow along a file's part.
+    heads = lines.where("start = 0").groupBy("file").agg(F.min(F.struct("at", "line")).alias("head")).select("file", "head.line").collect()
+    by_head: dict[str, list[str]] = {}
+    for r in heads:
+        by_head.setdefault(r["line"], []).append(r["file"])
+    out = None
+    for head, files in by_head.items():
+        names = next(csv.reader([head], delimiter=options.get("sep", options.get("delimiter", ","))), [])
+        fields = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {k: str(v) for k, v in options.items()})
+        own = lines.where(F.col("file").isin(files) & (F.trim("line") != "") & (F.col("line") != head)).select(fields.alias("f"))
+        own = own.select(*[F.col(f"f.c{i}").alias(n) for i, n in enumerate(names)])
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return spark.createDataFrame([], "") if out is None else out
 
 
 def read_folder(spark: SparkSession, folder: str, kind: str = "csv", pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """All files of a folder in one scan."""
-    reader = spark.read.option("pathGlobFilter", pattern or f"*.{kind}").option("recursiveFileLookup", recursive)
-    return reader.parquet(folder) if kind == "parquet" else reader.option("header", True).csv(folder)
+    """All files of a folder in one scan; CSV files as read_source_csv() has them."""
+    pattern = pattern or f"*.{kind}"
+    if kind != "parquet":
+        return read_source_csv(spark, folder, pattern, recursive)
+    return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).parquet(folder)
 
 
 def read_excel(spark: SparkSession, path: str, sheet_name: str | int = 0) -> DataFrame:

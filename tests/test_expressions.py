@@ -110,3 +110,24 @@ def test_registered_operators_work_in_expressions(engine):
         assert values(engine.factor("Half($close)"))[0] == 5.5
     finally:
         OPERATORS._by_name.pop("half")
+
+
+def test_lookback_counts_a_symbol_s_own_rows(spark):
+    """A symbol suspended for 20 days has its window of traded rows, and an exponential mean its whole history."""
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [(day(i), s, *[float(p)] * 4, 0.0 if s == "b" and 20 <= i < 40 else 100.0, 1.0) for s, k in (("a", 1), ("b", 2), ("c", 3)) for i, p in enumerate((j * k * 7) % 31 + 5 for j in range(50))]
+    df = spark.createDataFrame(rows, "date date, symbol string, open double, high double, low double, close double, volume double, amount double")
+    engine = ExprEngine(spark, df, mode="strict")
+    for text in ("Mean($close, 5)", "EMA($close, 5)", "Mean(Rank(Mean($close, 3)), 4)", "Ref($close, 2) + Std(Delta($close, 3), 6)"):
+        want = [tuple(r) for r in engine.factor(text).where("date >= DATE'2024-02-10'").collect()]
+        got = [tuple(r) for r in engine.factor(text, "2024-02-10", lookback=True).collect()]
+        assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want]) and got
+    plan = engine.factor("Mean($close, 5)", "2024-02-10", lookback=True)
+    assert plan.count() > 0
+
+
+def test_reach():
+    from alphaspark.plans.compiler import reach_levels
+
+    assert reach_levels(parse("Mean(Rank(Mean($close, 20)), 5) + Delta($close, 30)")) == (30, 20)
+    assert reach_levels(parse("Ref($close, -3) + Abs($open)")) == (0,) and reach(parse("EMA($close, 5)")) == float("inf")
