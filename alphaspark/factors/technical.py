@@ -23,9 +23,7 @@ def rsi14(ax: Axes) -> Column:
 @register_factor(needs=("close",), window=480)
 def macd_diff(ax: Axes) -> Column:
     """EMA 12 less EMA 26 of the close, less its own EMA 9."""
-    c = field("close")
-    macd = rolling.ema(c, 12, False, ax) - rolling.ema(c, 26, False, ax)
-    return macd - rolling.ema(macd, 9, False, ax)
+    return rolling.ewm_spread(field("close"), 2 / 13, 2 / 27, 2 / 10, ax)
 
 
 @register_factor(needs=("close",), window=20)

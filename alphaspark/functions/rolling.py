@@ -6,13 +6,14 @@ the operators do that read their window as a sequence.
 
 from __future__ import annotations
 
-import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from .axes import AXES, Axes, finite
+from .recurrence import Decay, Kernel, recurrent
 
 TINY = 1e-12
 
@@ -197,25 +198,46 @@ def decay_exp(x: Column, n: int, alpha: float = 0.5, axes: Axes = AXES) -> Colum
 
 
 def ewm(x: Column, alpha: float, adjust: bool = False, axes: Axes = AXES) -> Column:
-    """Exponentially weighted mean of the whole history; weights decay over missing rows too.
-
-    A fold over the rows that still carry a weight of 1e-16: linear in the history, not quadratic.
-    """
+    """Exponentially weighted mean of the whole history; weights decay over missing rows too, which show the mean before
+    them.  One pass over a symbol's rows, whatever ``alpha``."""
     if not 0 < alpha <= 1:
         raise ValueError(f"alpha must be in (0, 1], not {alpha}")
-    if alpha == 1:
-        return F.last(x, ignorenulls=True).over(axes.so_far())
-    rows = math.ceil(math.log(1e-16) / math.log(1 - alpha))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("o"))
 
-    def step(s: Column, v: Column) -> Column:
-        old = s["o"] * (1 - alpha)
-        new = 1.0 if adjust else alpha
-        y = F.when(v.isNull(), s["y"]).when(s["y"].isNull(), v).otherwise((old * s["y"] + new * v) / (old + new))
-        weight = F.when(s["y"].isNull() & v.isNull(), 1.0).when(v.isNull(), old).when(F.lit(not adjust) | s["y"].isNull(), 1.0).otherwise(old + 1.0)
-        return F.struct(y.alias("y"), weight.alias("o"))
+    def make() -> Kernel:
+        mean = Decay(alpha, adjust)
+        return lambda columns, begins: mean(columns[0], begins)
+
+    return recurrent(make, x, axes=axes)
+
+
+def ewm_spread(x: Column, fast: float, slow: float, signal: float, axes: Axes = AXES) -> Column:
+    """Two exponential means' difference, less its own exponential mean, in one pass."""
+
+    def make() -> Kernel:
+        means = [Decay(a, False) for a in (fast, slow, signal)]
+
+        def run(columns: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
+            spread = means[0](columns[0], begins) - means[1](columns[0], begins)
+            return spread - means[2](spread, begins)
+
+        return run
+
+    return recurrent(make, x, axes=axes)
+
+
+def ewm_twice(x: Column, alpha: float, weights: tuple[float, float], axes: Axes = AXES) -> Column:
+    """weights[0] * k + weights[1] * (the exponential mean of k), k that of x, in one pass."""
 
-    return F.aggregate(values(x, rows, axes), start, step, lambda s: s["y"])
+    def make() -> Kernel:
+        first, second = Decay(alpha, False), Decay(alpha, False)
+
+        def run(columns: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
+            k = first(columns[0], begins)
+            return weights[0] * k + weights[1] * second(k, begins)
+
+        return run
+
+    return recurrent(make, x, axes=axes)
 
 
 def ema(x: Column, span: int, adjust: bool = True, axes: Axes = AXES) -> Column:
@@ -258,4 +280,32 @@ def cumulative(x: Column, axes: Axes = AXES) -> Column:
     return F.sum(x).over(axes.so_far())
 
 
-__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "math", "re", "F", "Column", "AXES", "Axes", "WindowSpec", "finite", "TINY")]
+def long_total(x: Column, n: int, axes: Axes = AXES, min_periods: int = 1) -> Column:
+    """total() as a difference of sums so far, whose cost doesn't grow with ``n``.  NaN and infinities are missing."""
+    x = finite(x)
+    here, there = _between(x, n, axes), _between(x.isNotNull().cast("long"), n, axes)
+    return F.when(there >= min_periods, here)
+
+
+def long_corr(x: Column, y: Column, n: int, axes: Axes = AXES) -> Column:
+    """corr() over ``n`` complete pairs by differences of sums so far.
+
+    Both sides are taken relative to their first value, so that sums stay small; a side is constant where it didn't
+    change within the window.  NaN and infinities are missing.
+    """
+    x, y = _pair(finite(x), finite(y))
+    x, y = (v - F.first(v, ignorenulls=True).over(axes.so_far()) for v in (x, y))
+    moved = lambda v: _between(F.coalesce(v != ref(v, 1, axes), F.lit(True)).cast("long"), n - 1, axes) > 0
+    s, sx, sy = F.lit(float(n)), _between(x, n, axes), _between(y, n, axes)
+    shared, own = _between(x * y, n, axes) - sx * sy / s, [_between(v * v, n, axes) - a * a / s for v, a in ((x, sx), (y, sy))]
+    value = F.try_divide(shared, F.sqrt(F.greatest(own[0], F.lit(0.0))) * F.sqrt(F.greatest(own[1], F.lit(0.0))))
+    return F.when((_between(x.isNotNull().cast("long"), n, axes) == n) & moved(x) & moved(y), value)
+
+
+def _between(v: Column, n: int, axes: Axes) -> Column:
+    """Sum over the last ``n`` rows: the sum so far less that of n rows ago."""
+    so_far = F.coalesce(F.sum(v).over(axes.so_far()), F.lit(0))
+    return so_far - F.coalesce(F.lag(so_far, n).over(axes.history()), F.lit(0))
+
+
+__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "re", "np", "F", "Column", "AXES", "Axes", "WindowSpec", "Decay", "Kernel", "recurrent", "finite", "TINY")]

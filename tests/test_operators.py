@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaspark.functions import cross, rolling, scalar
+from alphaspark.functions.axes import AXES
 from alphaspark.operators import OPERATORS, Operator, OperatorRegistry
 
 NAN = float("nan")
@@ -155,3 +156,47 @@ def test_registry():
         OPERATORS.get("Mean")(1, 2.5)
     with pytest.raises(ValueError):
         rolling.ewm(None, 0)
+
+
+def test_a_mean_outlives_a_thousand_missing_rows(spark):
+    """As pandas has it, whatever the batches are cut at: missing rows show the last mean, weights decay over them."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    frames = []
+    for s, n in (("a", 1500), ("b", 7), ("c", 2500), ("d", 3)):
+        x = rng.normal(100, 3, n)
+        x[5:1005] = np.nan
+        if s == "d":
+            x[:] = np.nan
+        frames.append(pd.DataFrame({"symbol": s, "date": pd.date_range("2015-01-01", periods=n).date, "x": x}))
+    pdf = pd.concat(frames)
+    df = spark.createDataFrame([(s, d, None if v != v else float(v)) for s, d, v in pdf.itertuples(index=False)], "symbol string, date date, x double").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("97", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for alpha in (0.9, 0.1):
+                for adjust in (False, True):
+                    got = df.select("symbol", "date", rolling.ewm(X(), alpha, adjust).alias("y")).toPandas().sort_values(["symbol", "date"])["y"].to_numpy()
+                    want = pdf.groupby("symbol").x.transform(lambda g: g.ewm(alpha=alpha, adjust=adjust).mean()).to_numpy()  # noqa: B023
+                    np.testing.assert_allclose(got, want, rtol=1e-9)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_long_windows_by_sums_so_far(panel):
+    for n in (5, 40):
+        ours = panel.select("symbol", "date", rolling.total(X(), n, min_periods=2).alias("a"), rolling.long_total(X(), n, min_periods=2).alias("b"), rolling.corr(X(), F.lag("x", 2).over(AXES.history()), n, min_pairs=n).alias("c"), rolling.long_corr(X(), F.lag("x", 2).over(AXES.history()), n).alias("d")).collect()
+        for r in ours:
+            assert (r["a"] is None) == (r["b"] is None) and (r["c"] is None) == (r["d"] is None)
+            assert r["a"] is None or r["b"] == pytest.approx(r["a"], abs=1e-9)
+            assert r["c"] is None or r["d"] == pytest.approx(r["c"], abs=1e-7)
+
+
+def test_long_windows_of_constants_and_jumps(spark):
+    rows = [("s", i, 1e6 if i < 30 else 5.0 + i % 3 if i < 60 else 7.0, float(i % 5)) for i in range(100)]
+    got = spark.createDataFrame(rows, "symbol string, date int, x double, y double").select("date", rolling.corr(F.col("x"), F.col("y"), 10, min_pairs=10).alias("a"), rolling.long_corr(F.col("x"), F.col("y"), 10).alias("b")).orderBy("date").collect()
+    for r in got:
+        assert (r["a"] is None) == (r["b"] is None) and (r["a"] is None or r["b"] == pytest.approx(r["a"], abs=1e-3))
