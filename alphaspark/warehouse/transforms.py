@@ -19,6 +19,15 @@ def latest(df: DataFrame, key: Sequence[str], newest: str) -> DataFrame:
     return best.select(*[F.col(c) if c in key else F.col(f"__best.{c}").alias(c) for c in df.columns])
 
 
+def one_a_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row a key, the greatest of its rows by all other columns in order, so that reruns agree."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__best"))
+    return best.select(*[F.col(c) if c in key else F.col(f"__best.{c}").alias(c) for c in df.columns])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``old`` with the rows of ``new`` (unique in ``key``) added, or in place of those with the same key;
     columns in ``keep`` stay as the old row has them.  Columns are matched by name; keys aren't null."""
