@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cross, rolling
@@ -39,6 +39,11 @@ def daily_ic(df: DataFrame, factor: str = "factor", ret: str = "ret", method: st
     return both.groupBy(axes.date).agg(safe_corr(F.col("x"), F.col("y")).alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_names)
 
 
+def moving_ic(ic: DataFrame, n: int = 20, axes: Axes = AXES) -> DataFrame:
+    """With ``ic_mean``, the mean over up to ``n`` dates that have a value; one row a date, sorted as a whole."""
+    return ic.withColumn("ic_mean", F.avg("ic").over(Window.orderBy(axes.date).rowsBetween(-(n - 1), 0)))
+
+
 def ic_summary(ic: DataFrame) -> DataFrame:
     """One row: mean, sample deviation, their ratio (0 for no deviation), share of positive days, t and number of days."""
     mean, std, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")

@@ -59,16 +59,19 @@ class LayeredBacktest:
     def turnover(self) -> DataFrame:
         """date, turnover: of the top quantile, 1 - common names / names of either, against the date before.
 
-        Dates are numbered on their own table; a name's membership meets its next one by an equi-join.
+        Each top name is counted on its date and once more on the next one, so common names meet without a join of the panel
+        with itself; only the table with one row a date is sorted as a whole.
         """
         date, symbol = self.axes.date, self.axes.symbol
-        dates = self.assigned.select(date).distinct().withColumn("i", F.row_number().over(Window.orderBy(date)))
-        top = self.assigned.where(F.col("quantile") == self.n).select(date, symbol).join(dates, date).select("i", symbol)
-        held = top.groupBy("i").agg(F.count(F.lit(1)).alias("names"))
-        stayed = top.join(top.select((F.col("i") + 1).alias("i"), symbol), ["i", symbol], "left_semi").groupBy("i").agg(F.count(F.lit(1)).alias("common"))
-        before = held.select((F.col("i") + 1).alias("i"), F.col("names").alias("were"))
-        rows = dates.where("i > 1").join(held, "i", "left").join(before, "i", "left").join(stayed, "i", "left").na.fill(0, ["names", "were", "common"])
-        return rows.where("names + were > 0").select(date, (1 - F.col("common") / (F.col("names") + F.col("were") - F.col("common"))).alias("turnover"))
+        top = self.assigned.groupBy(date).agg(F.collect_set(F.when(F.col("quantile") == self.n, F.col(symbol))).alias("top"))
+        in_order = Window.orderBy(date)
+        dates = top.select(F.col(date).alias("day"), F.lead(date).over(in_order).alias("next"), F.lag(date).over(in_order).isNull().alias("first"))
+        one = lambda when, now, was, first: F.struct(when.alias("day"), F.lit(now).alias("now"), F.lit(was).alias("was"), first.alias("first"))
+        both = F.array(one(F.col("day"), 1, 0, F.col("first")), one(F.col("next"), 0, 1, F.lit(False)))
+        names = top.join(dates, F.col(date) == F.col("day")).select(F.explode("top").alias("name"), both.alias("both")).select("name", F.explode("both").alias("b"))
+        held = names.where("b.day IS NOT NULL").groupBy("b.day", "name").agg(F.max("b.now").alias("now"), F.max("b.was").alias("was"), F.max("b.first").alias("first"))
+        sums = held.groupBy("day").agg(F.sum("now").alias("names"), F.sum("was").alias("were"), F.sum(F.col("now") * F.col("was")).alias("common"), F.max("first").alias("first"))
+        return sums.where("NOT first").select(F.col("day").alias(date), (1 - F.col("common") / (F.col("names") + F.col("were") - F.col("common"))).alias("turnover"))
 
     def stats_row(self) -> dict[str, float]:
         return self.stats().first().asDict()

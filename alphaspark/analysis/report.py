@@ -92,7 +92,8 @@ class FactorReport:
             "layered": layers.stats_row(),
         }
 
-    def to_html(self, path: str | None = None) -> str:
+    def section(self) -> str:
+        """The report's tables and charts."""
         r = self.run()
         number = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
         rows = "".join(f"<tr><td>{p}</td>" + "".join(f"<td>{number(v)}</td>" for v in ic.values()) + "</tr>" for p, ic in r["ic"].items())
@@ -104,8 +105,16 @@ class FactorReport:
             line_chart(r["cumulative"], "Cumulative returns"),
             bar_chart(r["quantile_means"], "Mean return by quantile"),
         ]
-        title = f"Factor report: {html.escape(self.name)}"
-        out = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1><table><tr><th>period</th>{heads}</tr>{rows}</table><table>{layered}</table>{''.join(charts)}</body></html>"
-        if path:
-            Path(path).write_text(out, encoding="utf-8")
-        return out
+        return f"<h1>Factor report: {html.escape(self.name)}</h1><table><tr><th>period</th>{heads}</tr>{rows}</table><table>{layered}</table>{''.join(charts)}"
+
+    def to_html(self, path: str | None = None) -> str:
+        return reports_html([self], path)
+
+
+def reports_html(reports: Sequence[FactorReport], path: str | None = None) -> str:
+    """One page of several factors' reports."""
+    title = f"Factor report: {html.escape(', '.join(r.name for r in reports))}"
+    out = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title}</title></head><body>{''.join(r.section() for r in reports)}</body></html>"
+    if path:
+        Path(path).write_text(out, encoding="utf-8")
+    return out

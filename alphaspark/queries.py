@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store_queries
 from .analysis import LayeredBacktest, daily_ic, forward_returns, ic_summary
 from .calendar_tools import calendar_parts
 from .factors import FACTORS
@@ -553,3 +555,6 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = event_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return b.select(F.to_date("ts").alias("date"), "symbol", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+store_queries.register(QUERIES, ORACLES, sys.modules[__name__])
