@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaspark.llm.common import NULL_ID, row_keys, work_folder
+from alphaspark.llm.common import fresh_names, without_rows, work_folder
 from alphaspark.llm.decontaminate import without_leaks
 from alphaspark.llm.line_dedup import line_dedup
 from alphaspark.llm.mixing import mix_sources
@@ -20,35 +20,53 @@ from alphaspark.llm.quality import scores_by_row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.3; rows that repeat an id are judged one by one."""
+    """Documents whose score is at least 0.3.
+
+    Null and empty texts are scored by the statistics of an empty text.  Rows that repeat an id are judged one by one by
+    their texts, and equal rows alike; rows without an id go or stay by their own text.  No labels: all stay.  No rows: no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    rejected = scores_by_row(docs, labels).where("predicted = 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    k1, k2 = row_keys(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.join(rejected, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    return without_rows(docs, scores_by_row(docs, labels).where("predicted = 0"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that at least 10 of the documents share."""
-    columns = docs.columns
-    kept = line_dedup(docs, min_docs=10)
-    length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length).select(*columns)
+    """Texts without the lines that at least 10 of the documents share; n_chars is brought up to date where lines went.
+
+    Null and empty texts have one empty line, which stays, so they are as they were.  A text whose lines all go is empty.
+    Rows of one id count as one document, and rows without an id as one more.  No rows: no rows.
+    """
+    lines, dropped = fresh_names(docs, "__n_lines", "__n_dropped")
+    kept = line_dedup(docs, min_docs=10, n_lines=lines, n_dropped=dropped)
+    length = F.when(F.col(dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, by 5-word shingles and similarity 0.8.
-    Rows that repeat the doc_id that stays all stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """The document of the smallest id of each group of near duplicates, by 5-word shingles and similarity 0.8.
+
+    Null, empty and blank texts and rows without an id are in no group and stay.  Rows that repeat the id that stays all
+    stay; of an id that doesn't, all rows go.  No rows: no rows.
+    """
+    (gone_id,) = fresh_names(docs, "__gone_id")
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
+    """Documents in which no benchmark item leaks.
+
+    Null and empty texts stay.  Rows that repeat an id, or have none, go or stay by their own text.  An empty benchmark: all
+    stay.  No rows: no rows.
+    """
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words taken and first training position of each document."""
+    """Words taken and first training position of each row.
+
+    Null and empty texts have no words: none are taken, and the position is null.  Null sources are one source, the last.
+    Repeated rows are taken one by one.  No rows: no rows.
+    """
     mixed = mix_sources(docs)
     first = F.round(F.try_element_at("positions", F.lit(1)), 6).alias("first_position")
     return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.size("positions").cast("long").alias("n_copies"), first)
