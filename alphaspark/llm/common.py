@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,19 @@ def chunks(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple
             yield part, [c.to_pylist() for c in part.columns]
 
 
+def byte_chunks(batches: Iterable[pa.RecordBatch], column: int, limit: int = 1 << 23, step: int = 256) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Like chunks(), but a slice ends where the values of a binary column have ``limit`` bytes, so that long ones come alone."""
+    for batch in batches:
+        sizes = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            n = max(1, min(step, int(np.searchsorted(sizes, before + limit, "right")) - at))
+            part = batch.slice(at, n)
+            yield part, [c.to_pylist() for c in part.columns]
+            at += n
+
+
 class WordHasher(dict):
     """word bytes -> 64-bit hash, remembered for the words met lately."""
 

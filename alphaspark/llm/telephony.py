@@ -9,17 +9,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import byte_chunks
 
 #: WAVE format tags.
 ALAW, MULAW, ADPCM = 6, 7, 17
 #: Data bytes of an ADPCM block, after its 4 bytes of header.
 BLOCK = 192
-#: ADPCM blocks decoded in one go.
-_TOGETHER = 1 << 13
+#: ADPCM blocks decoded in one go, and codes or samples of other work in pieces.
+_TOGETHER, _PIECE = 1 << 12, 1 << 19
 #: Fixed values of the IMA ADPCM standard: index change by code, and the 89 step sizes.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 STEPS = np.array(
@@ -144,7 +145,7 @@ def features(pcm: np.ndarray, rate: int) -> str:
 
 def _encode(padded: int, tags: tuple[int, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (_, texts) in chunks(batches, 128):
+        for part, (_, texts) in byte_chunks(batches, 1):
             n, codec, media = [], [], []
             for text in texts:
                 text = text or b""
@@ -164,41 +165,115 @@ def encode_texts(docs: DataFrame, padded: int = BLOCK, tags: tuple[int, ...] = (
     equal files.  Null text: as empty.  Repeated rows and null ids: row by row."""
     if padded % BLOCK:
         raise ValueError(f"padded must be a multiple of {BLOCK}")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_encode(padded, tags), "doc_id long, n_bytes long, format_tag int, media binary")
+    return _texts(docs).mapInArrow(_encode(padded, tags), "doc_id long, n_bytes long, format_tag int, media binary")
 
 
-def decode_all(files: list[tuple[int, int, memoryview]]) -> list[np.ndarray]:
-    """PCM of each (tag, block, data); ADPCM blocks of one size are decoded together, _TOGETHER at a time."""
-    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(files)
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def pieces(files: list[tuple[int, int, memoryview]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, samples) of files (tag, block, data): each file's PCM in order, in pieces of a bounded size.  ADPCM blocks of
+    one size are decoded together, _TOGETHER at a time, whichever files they are of."""
     by_block: dict[int, list[int]] = {}
     for i, (tag, block, data) in enumerate(files):
         if tag == ADPCM:
             by_block.setdefault(block, []).append(i)
         else:
-            out[i] = decode(tag, block, data)
+            for at in range(0, len(data), _PIECE):
+                yield i, decode(tag, block, data[at : at + _PIECE])
     for block, own in by_block.items():
-        rows = np.concatenate([np.frombuffer(files[i][2], np.uint8) for i in own]).reshape(-1, block)
-        pcm = [adpcm_decode(rows[a : a + _TOGETHER]) for a in range(0, len(rows), _TOGETHER)]
-        ends = np.cumsum([len(files[i][2]) // block for i in own])
-        for i, part in zip(own, np.split(np.concatenate(pcm), ends[:-1]), strict=True):
-            out[i] = part.ravel()
-    return out
+        parts = [(i, at, min(at + _TOGETHER, len(files[i][2]) // block)) for i in own for at in range(0, len(files[i][2]) // block, _TOGETHER)]
+        ends = np.cumsum([stop - start for _, start, stop in parts])
+        first = 0
+        while first < len(parts):
+            # At least one part, and as many more as make up no more than _TOGETHER blocks.
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _TOGETHER, "right")))
+            group = parts[first:last]
+            rows = np.concatenate([np.frombuffer(files[i][2], np.uint8, (stop - start) * block, start * block) for i, start, stop in group]).reshape(-1, block)
+            for (i, _, _), part in zip(group, np.split(adpcm_decode(rows), np.cumsum([stop - start for _, start, stop in group])[:-1]), strict=True):
+                yield i, part.ravel()
+            first = last
 
 
-def _describe(rate: int, keep_pcm: bool):
+def decode_all(files: list[tuple[int, int, memoryview]]) -> list[np.ndarray]:
+    """The whole PCM of each (tag, block, data)."""
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int16)] for _ in files]
+    for i, part in pieces(files):
+        out[i].append(part)
+    return [np.concatenate(x) for x in out]
+
+
+class Recorder:
+    """Takes a file's PCM piece by piece: resamples it as resample() does, measures it as features() does, and keeps its
+    little-endian bytes, as they are or as one zstandard frame.  Beside what it keeps, it holds a piece at a time."""
+
+    def __init__(self, rate: int, to: int, keep: str | None) -> None:
+        self.rate, self.to = rate, to
+        self.buffer, self.base, self.taken = np.empty(0, np.int64), 0, 0
+        self.n = self.peak = self.squares = self.crossings = self.crc = 0
+        self.below: bool | None = None
+        self.kept = bytearray() if keep else None
+        self.packer = zstandard.ZstdCompressor(level=1).compressobj() if keep == "zstd" else None
+
+    def add(self, pcm: np.ndarray) -> None:
+        if self.rate == self.to:
+            self.put(pcm)
+            return
+        self.buffer = np.concatenate([self.buffer, pcm])
+        known = self.base + len(self.buffer)
+        # Samples that lie between two known ones.
+        self.fill(max(self.taken, ((known - 1) * self.to - 1) // self.rate + 1))
+        low = min(self.taken * self.rate // self.to, known)
+        self.buffer, self.base = self.buffer[low - self.base :], low
+
+    def fill(self, until: int) -> None:
+        for start in range(self.taken, until, _PIECE):
+            place = np.arange(start, min(start + _PIECE, until), dtype=np.int64) * self.rate
+            low, part = place // self.to - self.base, place % self.to
+            here, there = self.buffer[low], self.buffer[np.minimum(low + 1, len(self.buffer) - 1)]
+            self.put(((2 * (here * (self.to - part) + there * part) + self.to) // (2 * self.to)).astype(np.int16))
+        self.taken = max(self.taken, until)
+
+    def put(self, pcm: np.ndarray) -> None:
+        if not len(pcm):
+            return
+        wide, below = pcm.astype(np.int64), pcm < 0
+        self.n += len(pcm)
+        self.peak = max(self.peak, int(np.abs(wide).max()))
+        self.squares += int((wide * wide).sum())
+        self.crossings += int(np.count_nonzero(below[1:] != below[:-1])) + int(self.below is not None and self.below != below[0])
+        self.below = below[-1]
+        data = pcm.astype("<i2").tobytes()
+        self.crc = zlib.crc32(data, self.crc)
+        if self.kept is not None:
+            self.kept += self.packer.compress(data) if self.packer else data
+
+    def end(self) -> tuple[str, bytearray | None]:
+        """features() of all samples, and what was kept."""
+        if self.rate != self.to:
+            self.fill(-(-(self.base + len(self.buffer)) * self.to // self.rate))
+        if self.packer:
+            self.kept += self.packer.flush()
+        rms = int(np.sqrt(self.squares / self.n)) if self.n else 0
+        return f"{self.n * 1000 // self.to}ms:{self.peak}:{rms}:{self.crossings}:{self.crc:08x}", self.kept
+
+
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+
+
+def _describe(rate: int, keep: str | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (_, n, _, media) in chunks(batches, 256):
+        for part, (_, n, _, media) in byte_chunks(batches, 3):
             there = [i for i, m in enumerate(media) if m is not None]
             files = [read_wave(media[i]) for i in there]
-            decoded = decode_all([(tag, block, data) for tag, _, block, data in files])
+            recorders = [Recorder(own, rate, keep) for _, own, _, _ in files]
+            for k, samples in pieces([(tag, block, data) for tag, _, block, data in files]):
+                recorders[k].add(samples)
             rows: list[list] = [[None] * 7 for _ in media]
-            for i, (tag, own_rate, block, data), samples in zip(there, files, decoded, strict=True):
-                payload, pcm = payload_of(tag, block, data), resample(samples, own_rate, rate)
-                rows[i] = [
-                    len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(),
-                    f"{tag}:{features(pcm, rate)}", pcm.astype("<i2").tobytes() if keep_pcm else None,
-                ]
+            for i, (tag, _, block, data), recorder in zip(there, files, recorders, strict=True):
+                payload, (feature, pcm) = payload_of(tag, block, data), recorder.end()
+                rows[i] = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), f"{tag}:{feature}", pcm]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
@@ -206,8 +281,25 @@ def _describe(rate: int, keep_pcm: bool):
     return run
 
 
-def describe_media(media: DataFrame, rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
+def describe_media(media: DataFrame, rate: int = 16000, keep_pcm: bool | str = True) -> DataFrame:
     """Rows (doc_id, n_bytes, format_tag, media) -> payload and file digests, ``feature`` and ``pcm``: the samples at
-    ``rate`` as little-endian 16-bit.  Null media: nulls.  Damaged files raise."""
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
-    return media.select("doc_id", "n_bytes", "format_tag", "media").mapInArrow(_describe(rate, keep_pcm), kinds)
+    ``rate`` as little-endian 16-bit, with keep_pcm="zstd" as a zstandard frame of them, with False null.
+    Null media: nulls.  Damaged files raise.
+
+    Files are decoded, resampled and measured in pieces; of a long one only the file and the column's value are held whole.
+    """
+    return media.select("doc_id", "n_bytes", "format_tag", "media").mapInArrow(_describe(rate, _kept(keep_pcm)), DESCRIBED)
+
+
+def record_texts(docs: DataFrame, padded: int = BLOCK, tags: tuple[int, ...] = (MULAW, ALAW, ADPCM), rate: int = 16000, keep_pcm: bool | str = "zstd") -> DataFrame:
+    """describe_media(encode_texts(docs)) in one pass: each file is made, read back and let go in the same worker."""
+    if padded % BLOCK:
+        raise ValueError(f"padded must be a multiple of {BLOCK}")
+    encode, describe = _encode(padded, tags), _describe(rate, _kept(keep_pcm))
+    return _texts(docs).mapInArrow(lambda batches: describe(encode(batches)), DESCRIBED)
+
+
+def _kept(keep_pcm: bool | str) -> str | None:
+    if keep_pcm not in (True, False, "zstd"):
+        raise ValueError(f"keep_pcm must be True, False or 'zstd', not {keep_pcm!r}")
+    return {True: "raw", False: None}.get(keep_pcm, keep_pcm)

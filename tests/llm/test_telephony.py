@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
-from alphaspark.llm.telephony import ADPCM, ALAW, BLOCK, INDEX_CHANGE, MULAW, STEPS, adpcm_decode, alaw_table, decode_all, describe_media, encode_texts, features, mulaw_table, pack_wave, payload_of, read_wave, resample
+from alphaspark.llm.telephony import ADPCM, ALAW, BLOCK, INDEX_CHANGE, MULAW, STEPS, Recorder, _describe, _encode, adpcm_decode, alaw_table, decode_all, describe_media, encode_texts, features, mulaw_table, pack_wave, payload_of, read_wave, record_texts, resample
 
 from .helpers import docs_of, rows_of
 
@@ -85,3 +88,43 @@ def test_odd_rows(spark):
     assert describe_media(nothing).first()["payload_sha256"] is None
     with pytest.raises(ValueError):
         encode_texts(df, padded=100)
+
+
+@pytest.mark.parametrize(("rate", "to"), [(8000, 16000), (8000, 8000), (8000, 11025), (16000, 8000)])
+def test_a_recorder_equals_the_whole(rate, to):
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 5000):
+        pcm = r.integers(-32768, 32768, n).astype(np.int16)
+        for step in (1, 3, 1000, 10_000):
+            if n // step > 1000:
+                continue
+            taker = Recorder(rate, to, "zstd")
+            for at in range(0, n, step):
+                taker.add(pcm[at : at + step])
+            feature, kept = taker.end()
+            want = resample(pcm, rate, to)
+            assert feature == features(want, to)
+            assert zstandard.ZstdDecompressor().decompressobj().decompress(bytes(kept)) == want.astype("<i2").tobytes()
+
+
+def test_a_long_text_needs_little_beside_its_file():
+    """20 MB of ADPCM: 160 MB of samples at 16 kHz, never held at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"some words of a text, " * 1_000_000], pa.binary())], ["doc_id", "text"])
+    tracemalloc.start()
+    media = list(_encode(BLOCK, (ADPCM,))([batch]))
+    out = list(_describe(16000, "zstd")(media))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and out[0].column("payload_bytes")[0].as_py() >= 22_000_000
+
+
+def test_pcm_as_a_frame(spark):
+    media = encode_texts(docs_of(spark, ["some text " * 50, "", None, "x" * 5000]))
+    raw = {r["doc_id"]: r for r in describe_media(media).collect()}
+    for r in describe_media(media, keep_pcm="zstd").collect():
+        assert zstandard.ZstdDecompressor().decompressobj().decompress(bytes(r["pcm"])) == bytes(raw[r["doc_id"]]["pcm"]) and r["feature"] == raw[r["doc_id"]]["feature"]
+    docs = docs_of(spark, ["some text " * 50, "", None, "x" * 5000])
+    assert rows_of(record_texts(docs)) == rows_of(describe_media(media, keep_pcm="zstd")) and rows_of(record_texts(docs, keep_pcm=True)) == rows_of(describe_media(media))
+    assert describe_media(media, keep_pcm=False).where("pcm IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        describe_media(media, keep_pcm="mp3")
