@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cross, rolling, scalar
 from ..functions.axes import AXES, Axes
+from ..functions.recurrence import Steps
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,9 @@ def compute(panel: DataFrame, *names: str, axes: Axes = AXES, registry: FactorRe
     missing = sorted({c for f in found for c in f.needs} - set(panel.columns))
     if missing:
         raise KeyError(f"the panel lacks {', '.join(missing)}")
-    return panel.select(axes.date, axes.symbol, *[f.column(axes).alias(f.name) for f in found])
+    with Steps() as steps:
+        columns = [f.column(axes).alias(f.name) for f in found]
+    return steps.apply(panel).select(axes.date, axes.symbol, *columns)
 
 
 @dataclass
@@ -130,7 +133,9 @@ class FactorABC(ABC):
         missing = [c for c in self.dependencies if c not in panel.columns]
         if missing:
             raise KeyError(f"{self.name}: the panel lacks {', '.join(missing)}")
-        values = panel.select(self.axes.date, self.axes.symbol, self.compute().alias(self.name))
+        with Steps() as steps:
+            value = self.compute().alias(self.name)
+        values = steps.apply(panel).select(self.axes.date, self.axes.symbol, value)
         return FactorResult(values, self.name, list(self.dependencies), self.max_window, (type(self).__doc__ or "").strip())
 
     def DELAY(self, x: Column, n: int) -> Column:

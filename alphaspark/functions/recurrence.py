@@ -1,17 +1,22 @@
 """Recurrences along a symbol's history, a state carried from row to row: linear in the number of rows.
 
-A window numbers a symbol's rows, so rows reach Python sorted by symbol and date, whatever the table's order, and the
-numbers tell where a symbol begins.  Batches are worked on with numpy; what a batch hands to the next is a few numbers.
+A Column can't say that rows reach it in order, so recurrences are steps of a DataFrame: columns that are built within
+``Steps`` name the results of steps, and ``apply`` adds these to the panel before the columns are selected.  A step numbers
+a symbol's rows by a window and hands them to Python in that order, batch by batch; what a batch leaves to the next
+is a few numbers.  The numbers also prove the order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from typing import Iterator, Tuple  # noqa: UP035  (the forms that pandas_udf reads)
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .axes import Axes
@@ -22,9 +27,60 @@ Kernel = Callable[[list[np.ndarray], np.ndarray], np.ndarray]
 _SPAN = 300.0
 
 
-def recurrent(make: Callable[[], Kernel], *xs: Column, axes: Axes) -> Column:
-    """The results of a kernel over the columns ``xs``; ``make`` gives a fresh one for each task."""
-
+class Steps:
+    """The recurrences of columns built inside ``with Steps() as steps:``, in the order in which they were asked for."""
+
+    _current: ContextVar[Steps | None] = ContextVar("recurrences", default=None)
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[str, Callable[[], Kernel], Sequence[Column], Axes]] = []
+
+    def __enter__(self) -> Steps:
+        self._token = Steps._current.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Steps._current.reset(self._token)
+
+    @staticmethod
+    def current() -> Steps | None:
+        return Steps._current.get()
+
+    def add(self, make: Callable[[], Kernel], xs: Sequence[Column], axes: Axes) -> Column:
+        """A column with the results of a kernel over ``xs``; ``make`` gives a fresh one for each task."""
+        name = f"__recurrence_{uuid.uuid4().hex}"
+        self.steps.append((name, make, xs, axes))
+        return F.col(name)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """``df`` with a column for each recurrence; those that don't need each other share one pass over sorted rows."""
+        left = self.steps
+        while left:
+            ready = [s for s in left if _known(df, s[2])]
+            if not ready:
+                return df.select("*", *left[0][2])  # raises: a column isn't there
+            axes = ready[0][3]
+            ready = [s for s in ready if s[3] == axes]
+            names = df.columns
+            inputs = {s[0]: [f"{s[0]}_{i}" for i in range(len(s[2]))] for s in ready}
+            df = df.select("*", *[x.cast("double").alias(n) for s in ready for x, n in zip(s[2], inputs[s[0]], strict=True)])
+            # A select of its own, so that this window is the last thing before Python.
+            number = f"{ready[0][0]}_number"
+            df = df.select("*", F.row_number().over(axes.history()).alias(number))
+            df = df.select(*[F.col(f"`{n}`") for n in names], *[_udf(s[1])(F.col(number), *map(F.col, inputs[s[0]])).alias(s[0]) for s in ready])
+            left = [s for s in left if s not in ready]
+        return df
+
+
+def _known(df: DataFrame, xs: Sequence[Column]) -> bool:
+    try:
+        df.select(*xs).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
+def _udf(make: Callable[[], Kernel]) -> Callable[..., Column]:
     def run(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         kernel, last = make(), 0
         for number, *columns in batches:
@@ -38,7 +94,7 @@ def recurrent(make: Callable[[], Kernel], *xs: Column, axes: Axes) -> Column:
             last = int(at[-1])
             yield pd.Series(kernel([c.to_numpy(np.float64, na_value=np.nan) for c in columns], at == 1))
 
-    return F.pandas_udf(run, "double")(F.row_number().over(axes.history()), *[x.cast("double") for x in xs])
+    return F.pandas_udf(run, "double")
 
 
 class Decay:

@@ -6,6 +6,7 @@ the operators do that read their window as a sequence.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from .axes import AXES, Axes, finite
-from .recurrence import Decay, Kernel, recurrent
+from .recurrence import Decay, Kernel, Steps
 
 TINY = 1e-12
 
@@ -199,19 +200,48 @@ def decay_exp(x: Column, n: int, alpha: float = 0.5, axes: Axes = AXES) -> Colum
 
 def ewm(x: Column, alpha: float, adjust: bool = False, axes: Axes = AXES) -> Column:
     """Exponentially weighted mean of the whole history; weights decay over missing rows too, which show the mean before
-    them.  One pass over a symbol's rows, whatever ``alpha``."""
+    them.
+
+    Within ``Steps`` (factors, expressions and queries are) one pass over a symbol's rows with a carried state.  As a Column
+    of its own, a fold over the rows that still carry a weight of 1e-16.
+    """
     if not 0 < alpha <= 1:
         raise ValueError(f"alpha must be in (0, 1], not {alpha}")
+    steps = Steps.current()
+    if steps is None:
+        return _folded(x, alpha, adjust, axes)
 
     def make() -> Kernel:
         mean = Decay(alpha, adjust)
         return lambda columns, begins: mean(columns[0], begins)
 
-    return recurrent(make, x, axes=axes)
+    return steps.add(make, [x], axes)
+
+
+def _folded(x: Column, alpha: float, adjust: bool, axes: Axes) -> Column:
+    if alpha == 1:
+        return F.last(x, ignorenulls=True).over(axes.so_far())
+    rows = math.ceil(math.log(1e-16) / math.log(1 - alpha))
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("o"))
+
+    def step(s: Column, v: Column) -> Column:
+        old = s["o"] * (1 - alpha)
+        new = 1.0 if adjust else alpha
+        y = F.when(v.isNull(), s["y"]).when(s["y"].isNull(), v).otherwise((old * s["y"] + new * v) / (old + new))
+        weight = F.when(s["y"].isNull() & v.isNull(), 1.0).when(v.isNull(), old).when(F.lit(not adjust) | s["y"].isNull(), 1.0).otherwise(old + 1.0)
+        return F.struct(y.alias("y"), weight.alias("o"))
+
+    folded = F.aggregate(values(x, rows, axes), start, step, lambda s: s["y"])
+    # Missing rows show the mean before them, whose own rows are counted from the last value.
+    return F.last(F.when(settled(x, axes).isNotNull(), folded), ignorenulls=True).over(axes.so_far())
 
 
 def ewm_spread(x: Column, fast: float, slow: float, signal: float, axes: Axes = AXES) -> Column:
-    """Two exponential means' difference, less its own exponential mean, in one pass."""
+    """Two exponential means' difference, less its own exponential mean."""
+    steps = Steps.current()
+    if steps is None:
+        spread = ewm(x, fast, axes=axes) - ewm(x, slow, axes=axes)
+        return spread - ewm(spread, signal, axes=axes)
 
     def make() -> Kernel:
         means = [Decay(a, False) for a in (fast, slow, signal)]
@@ -222,11 +252,15 @@ def ewm_spread(x: Column, fast: float, slow: float, signal: float, axes: Axes =
 
         return run
 
-    return recurrent(make, x, axes=axes)
+    return steps.add(make, [x], axes)
 
 
 def ewm_twice(x: Column, alpha: float, weights: tuple[float, float], axes: Axes = AXES) -> Column:
-    """weights[0] * k + weights[1] * (the exponential mean of k), k that of x, in one pass."""
+    """weights[0] * k + weights[1] * (the exponential mean of k), k that of x."""
+    steps = Steps.current()
+    if steps is None:
+        k = ewm(x, alpha, axes=axes)
+        return weights[0] * k + weights[1] * ewm(k, alpha, axes=axes)
 
     def make() -> Kernel:
         first, second = Decay(alpha, False), Decay(alpha, False)
@@ -237,7 +271,7 @@ def ewm_twice(x: Column, alpha: float, weights: tuple[float, float], axes: Axes
 
         return run
 
-    return recurrent(make, x, axes=axes)
+    return steps.add(make, [x], axes)
 
 
 def ema(x: Column, span: int, adjust: bool = True, axes: Axes = AXES) -> Column:
@@ -308,4 +342,4 @@ def _between(v: Column, n: int, axes: Axes) -> Column:
     return so_far - F.coalesce(F.lag(so_far, n).over(axes.history()), F.lit(0))
 
 
-__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "re", "np", "F", "Column", "AXES", "Axes", "WindowSpec", "Decay", "Kernel", "recurrent", "finite", "TINY")]
+__all__ = [k for k in dir() if not k.startswith("_") and k not in ("annotations", "math", "re", "np", "F", "Column", "AXES", "Axes", "WindowSpec", "Decay", "Kernel", "Steps", "finite", "TINY")]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.axes import Axes
+from ..functions.recurrence import Steps
 from .compiler import Compiler, reach_levels
 from .parser import FIELDS, Node, parse
 
@@ -92,8 +93,9 @@ class ExprEngine:
             base = self.base(self._first_needed(reach_levels(tree), start, end, universe), end, universe)
         else:
             base = self.base(start, end, universe)
-        value = Compiler(self.mode, self.axes).column(tree)
-        out = base.select(self.date, self.symbol, value.alias(name)).where(F.col(name).isNotNull())
+        with Steps() as steps:
+            value = Compiler(self.mode, self.axes).column(tree)
+        out = steps.apply(base).select(self.date, self.symbol, value.alias(name)).where(F.col(name).isNotNull())
         if lookback and start is not None:
             out = out.where(F.col(self.date) >= F.lit(start).cast("date"))
         return out.orderBy(self.date, self.symbol) if ordered else out
@@ -101,7 +103,9 @@ class ExprEngine:
     def features(self, expressions: dict[str, str], start: str | None = None, end: str | None = None) -> DataFrame:
         """Several expressions over one base: one shuffle by symbol and one by date serve them all."""
         compiler = Compiler(self.mode, self.axes)
-        return self.base(start, end).select(self.date, self.symbol, *[compiler.column(parse(e)).alias(n) for n, e in expressions.items()])
+        with Steps() as steps:
+            columns = [compiler.column(parse(e)).alias(n) for n, e in expressions.items()]
+        return steps.apply(self.base(start, end)).select(self.date, self.symbol, *columns)
 
     def batch(self, expressions: dict[str, str], start: str | None = None, end: str | None = None) -> DataFrame:
         """(name, date, symbol, value) of several expressions where they aren't missing, from one pass over their base."""

@@ -17,6 +17,7 @@ from .analysis import LayeredBacktest, daily_ic, forward_returns, ic_summary
 from .calendar_tools import calendar_parts
 from .factors import FACTORS
 from .functions import cross, rolling
+from .functions.recurrence import Steps
 from .operators import OPERATORS
 from .plans import ExprEngine
 from .preprocess import DataPreprocessor
@@ -117,7 +118,9 @@ def call(name: str, *args, **options) -> Callable[[], Column]:
 
 
 def panel_value(spark: SparkSession, sf_dir: str, value: Callable[[], Column], every: str = "month") -> DataFrame:
-    return with_gaps(bars(spark, sf_dir, every)).select("date", "symbol", single(value()).alias("value"))
+    with Steps() as steps:
+        column = single(value()).alias("value")
+    return steps.apply(with_gaps(bars(spark, sf_dir, every))).select("date", "symbol", column)
 
 
 def spec(name: str, value: Callable[[], Column], steps: list[tuple[str, str]], sql: str, every: str = "month") -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alphaspark.functions import cross, rolling, scalar
 from alphaspark.functions.axes import AXES
+from alphaspark.functions.recurrence import Steps
 from alphaspark.operators import OPERATORS, Operator, OperatorRegistry
 
 NAN = float("nan")
@@ -179,9 +180,12 @@ def test_a_mean_outlives_a_thousand_missing_rows(spark):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
             for alpha in (0.9, 0.1):
                 for adjust in (False, True):
-                    got = df.select("symbol", "date", rolling.ewm(X(), alpha, adjust).alias("y")).toPandas().sort_values(["symbol", "date"])["y"].to_numpy()
+                    with Steps() as steps:
+                        one_pass = rolling.ewm(X(), alpha, adjust).alias("z")
+                    both = steps.apply(df).select("symbol", "date", rolling.ewm(X(), alpha, adjust).alias("y"), one_pass).toPandas().sort_values(["symbol", "date"])
                     want = pdf.groupby("symbol").x.transform(lambda g: g.ewm(alpha=alpha, adjust=adjust).mean()).to_numpy()  # noqa: B023
-                    np.testing.assert_allclose(got, want, rtol=1e-9)
+                    np.testing.assert_allclose(both["y"].to_numpy(), want, rtol=1e-9)
+                    np.testing.assert_allclose(both["z"].to_numpy(), want, rtol=1e-9)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
@@ -200,3 +204,19 @@ def test_long_windows_of_constants_and_jumps(spark):
     got = spark.createDataFrame(rows, "symbol string, date int, x double, y double").select("date", rolling.corr(F.col("x"), F.col("y"), 10, min_pairs=10).alias("a"), rolling.long_corr(F.col("x"), F.col("y"), 10).alias("b")).orderBy("date").collect()
     for r in got:
         assert (r["a"] is None) == (r["b"] is None) and (r["a"] is None or r["b"] == pytest.approx(r["a"], abs=1e-3))
+
+
+def test_recurrences_beside_and_above_windows_of_dates(panel):
+    """A recurrence has its symbols' order whatever else a select sorts by, and recurrences of recurrences too."""
+    with Steps() as steps:
+        mean = rolling.ewm(cross.rank_pct(X()), 0.3)
+        twice = rolling.ewm(mean + rolling.mean(Y(), 3), 0.5)
+        value = cross.rank_pct(twice) + rolling.mean(mean, 4)
+    got = steps.apply(panel).select("symbol", "date", value.alias("v"), cross.rank_pct(Y()).alias("r")).toPandas().sort_values(["symbol", "date"])
+    pdf = panel.toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+    g = lambda s: s.groupby(pdf.symbol)
+    first = g(pdf.x.groupby(pdf.date).rank(pct=True)).transform(lambda s: s.ewm(alpha=0.3, adjust=False).mean())
+    second = g(first + g(pdf.y).transform(lambda s: s.rolling(3, min_periods=1).mean())).transform(lambda s: s.ewm(alpha=0.5, adjust=False).mean())
+    want = second.groupby(pdf.date).rank(pct=True) + g(first).transform(lambda s: s.rolling(4, min_periods=1).mean())
+    np.testing.assert_allclose(got["v"].to_numpy(), want.to_numpy(), rtol=1e-9)
+    assert got.columns.tolist() == ["symbol", "date", "v", "r"]
