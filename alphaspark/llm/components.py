@@ -13,7 +13,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     the larger (else: them and itself) below the smallest that it sees, itself included."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    # Staged, so that the join stands on two plain exchanges, whose hubs Spark can split.
+    least = staged(least.select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -26,7 +27,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs -> (node, component), component the smallest node reachable; for nodes with edges.
 
     Each round is two joins of the edges with one row per node, whose minimum is partly aggregated before the
-    shuffle, so a hub costs no more than its edges; the edge table is staged after each round.  It ends when every
+    shuffle and staged, so that a hub's edges can be split over tasks; the edge table is staged after each round.  It ends when every
     node hangs below one root; the number of rounds grows with the logarithm of the longest chain.  Loops and
     repeated edges do no harm.  No edges: no rows.
     """

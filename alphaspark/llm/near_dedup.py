@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHasher, chunks, mix, signed, staged
@@ -16,8 +16,9 @@ from .components import connected_components
 #: Both ends of 64 permutations: 128 values, 32 bands of 4.  A pair at similarity 0.8 shares no band
 #: with probability (1 - 0.8**4)**32 = 5e-8.
 PERMUTATIONS, BAND_ROWS = 64, 4
-#: Unlinked members, and members they are held against, that one call compares.
-BLOCK, CHUNK = 256, 512
+#: Unlinked members, and members they are held against, that one call compares; and members of the pivot's component that
+#: more than a block of unlinked ones are held against before.
+BLOCK, CHUNK, PROBES = 256, 512, 64
 _STEP = 2048
 
 
@@ -121,11 +122,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     Words are lower-cased in A-Z and split at ASCII white space; documents are linked where the sets of their
     ``width``-word shingles have 100 * intersection >= percent * union; component_id is the smallest doc_id reachable.
 
-    Documents of one set are a class, known by a 128-bit digest; its smallest doc_id stands for it.  Classes go
-    into one bucket a band.  No bucket is expanded into pairs.  Its pivot, the member that shares most buckets with most
-    others, is compared with every member on full sets, and links are joined into components.  Two members that
-    aren't connected by then include one outside their pivot's component; those few are compared with the pivot's
-    other members in blocks, which give only the links.  So every pair that shares a band is compared or connected.
+    Documents of one set are a class, known by a 128-bit digest; its smallest doc_id stands for it, and copies take its
+    component in the end.  Classes go into one bucket a band.  No bucket is expanded into pairs.  Its pivot, the member that
+    shares most buckets with most others, is compared with every member on full sets, and links are joined into components.
+    Two members that aren't connected by then include one outside their pivot's component; where these are many, they are
+    first compared with a few of that component.  Those still outside are compared with all the pivot's other members in
+    blocks, which give only the links.  So every pair that shares a band is compared or connected.
 
     Null or empty texts, and texts of white space: the empty set, n_shingles 0, linked with nothing.  Fewer words
     than ``width``: one shingle.  Rows that repeat a doc_id with the same text are classmates; a doc_id with several
@@ -138,7 +140,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     # Staged, as the other counts below, so that joins stand on plain exchanges, whose hot keys Spark can split.
     classes = staged(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
     of_class = full.join(classes, ["c1", "c2"])
-    copies = of_class.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    # Only a doc_id with several texts ties classes together; other copies aren't in the graph.
+    ids = of_class.select("doc_id", "node").distinct()
+    several = staged(ids.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("doc_id", "lo"), "several")
+    ties = ids.join(several, "doc_id").where("node != lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
     placed = of_class.where("doc_id = node").select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
     shared = staged(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket", "size"), "shared")
     buckets = staged(placed.join(shared, "bucket"), "buckets")
@@ -154,41 +159,62 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     with_sets = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sa")), "pivot").join(sets.withColumnRenamed("shingles", "sb"), "node")
     both = F.size(F.array_intersect("sa", "sb"))
     linked = with_sets.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-    links = staged(copies.union(linked.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "links")
+    links = staged(ties.union(linked.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "links")
     groups = connected_components(links)
 
-    # Groups (pivot and members) whose members besides the pivot are in several components.
-    known = groups.withColumnRenamed("node", "__n")
-    members = stars.select("pivot", "node").distinct().join(known.withColumnRenamed("component", "c"), F.col("node") == F.col("__n"), "left").select("pivot", "node", F.coalesce("c", "node").alias("component"))
-    members = members.join(known.withColumnRenamed("component", "pc"), F.col("pivot") == F.col("__n"), "left").select("pivot", "node", "component", F.coalesce("pc", "pivot").alias("own"))
-    members = staged(members, "members")
-    open_ = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum((F.col("component") != F.col("own")).cast("long")).alias("outside")).where("lo != hi AND outside > 0")
-    open_ = staged(open_.select(F.col("pivot").alias("group"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks")), "open")
+    # Groups (pivot and members) with members in several components, of which some aren't in the pivot's.
+    members = staged(_members(stars, groups), "members")
+    large = staged(_open(members).where(F.col("outside") > BLOCK).withColumn("blocks", F.ceil(F.col("outside") / BLOCK).cast("long")), "large")
+    if large.head(1):
+        # Near copies of each other are mostly linked with some of a few that are in the component; the rest goes the long way.
+        apart = members.join(large, F.col("pivot") == F.col("group"))
+        by_hash = Window.partitionBy("group").orderBy(F.xxhash64("node"), "node")
+        probes = apart.where("component = own").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= PROBES)
+        found = _links(apart.where("component != own").withColumn("chunks", F.lit(1).cast("long")), probes.withColumn("chunks", F.lit(1).cast("long")), sets, percent, "probed")
+        if found.head(1):
+            groups = connected_components(_as_edges(groups).union(found))
+            members = staged(_members(stars, groups), "members")
+    # Each chunk of a group's members meets each block of those outside the pivot's component.
+    sizes = members.groupBy(F.col("pivot").alias("of")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    open_ = staged(_open(members).withColumn("blocks", F.ceil(F.col("outside") / BLOCK).cast("long")).join(sizes, F.col("group") == F.col("of")).drop("of"), "open")
     grouped = members.join(open_, F.col("pivot") == F.col("group"))
-    left = grouped.where("component != own").select("group", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"), F.col("node").alias("x"), "component")
-    # As many chunks as a group has members for; each meets each block of its unlinked members.
-    sizes = staged(grouped.groupBy("group", "blocks").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "sizes")
-    right = (
-        members.join(sizes, F.col("pivot") == F.col("group"))
-        .select("group", "blocks", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks").cast("long")).alias("chunk"), F.col("node").alias("y"), "component")
-        .join(sets.withColumnRenamed("node", "__n"), F.col("y") == F.col("__n"))
-        .select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "chunk", "y", "component", "shingles")
-    )
-    left = (
-        left.join(sizes.select("group", "chunks"), "group")
-        .join(sets.withColumnRenamed("node", "__n"), F.col("x") == F.col("__n"))
-        .select("group", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "x", "component", "shingles")
-    )
-    key = ["group", "block", "chunk"]
-    left, right = (df.select([F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # fresh names: both come from the same tables
-    more = staged(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_compare(percent), "a long, b long").distinct(), "more")
+    more = _links(grouped.where("component != own"), grouped, sets, percent, "more")
     if more.head(1):
-        stars_now = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = connected_components(stars_now.union(more))
+        groups = connected_components(_as_edges(groups).union(more))
 
-    found = groups.select(F.col("node").alias("__node"), "component")
+    found = classes.join(groups.select(F.col("node").alias("__node"), "component"), F.col("node") == F.col("__node"), "left").select(F.col("c1").alias("__c1"), F.col("c2").alias("__c2"), F.coalesce("component", "node").alias("component"))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return (
-        sketches.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("__node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        sketches.select("doc_id", "n_shingles", "c1", "c2").join(found, (F.col("c1") == F.col("__c1")) & (F.col("c2") == F.col("__c2")), "left")
+        .select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def _members(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """(pivot, node, component, own): the members of each pivot's buckets with their component and the pivot's."""
+    known = groups.withColumnRenamed("node", "__n")
+    own = stars.select("pivot", "node").distinct().join(known.withColumnRenamed("component", "c"), F.col("node") == F.col("__n"), "left").select("pivot", "node", F.coalesce("c", "node").alias("component"))
+    return own.join(known.withColumnRenamed("component", "pc"), F.col("pivot") == F.col("__n"), "left").select("pivot", "node", "component", F.coalesce("pc", "pivot").alias("own"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """(group, outside): groups in which two members may be linked that aren't connected, and how many are outside the pivot's component."""
+    counted = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum((F.col("component") != F.col("own")).cast("long")).alias("outside"))
+    return counted.where("lo != hi AND outside > 0").select(F.col("pivot").alias("group"), "outside")
+
+
+def _as_edges(groups: DataFrame) -> DataFrame:
+    return groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _links(outside: DataFrame, others: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """(a, b): links between components of rows (group, blocks, chunks, node, component): each block of ``outside``
+    is compared with each chunk of ``others`` in its group."""
+    own = sets.withColumnRenamed("node", "__n")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = outside.join(own, F.col("node") == F.col("__n")).select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), each("chunks").alias("chunk"), F.col("node").alias("x"), "component", "shingles")
+    right = others.join(own, F.col("node") == F.col("__n")).select("group", each("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).alias("chunk"), F.col("node").alias("y"), "component", "shingles")
+    left, right = (df.select([F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # fresh names: both come from the same tables
+    key = ["group", "block", "chunk"]
+    return staged(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_compare(percent), "a long, b long").distinct(), name)

@@ -92,3 +92,22 @@ def test_components_of_chains_hubs_and_loops(spark):
     got = dict(rows_of(connected_components(spark.createDataFrame(edges, "a long, b long"))))
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[i] == 100 for i in range(100, 180)) and got[301] == got[300] == 300 and 200 not in got
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_of_many_blocks(spark, monkeypatch):
+    """Near copies whose links run through others than the pivot, and templated texts that aren't linked at all."""
+    for name, n in (("BLOCK", 8), ("CHUNK", 16), ("PROBES", 3)):
+        monkeypatch.setattr(f"alphaspark.llm.near_dedup.{name}", n)
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(60)]
+    texts = family(rng, 120, 70, 0.055) + [" ".join(template + [f"u{rng.randrange(10**6)}" for _ in range(18)]) for _ in range(60)]
+    rng.shuffle(texts)
+    want = brute(texts, 2)
+    assert rows_of(near_duplicates(docs_of(spark, texts), 2)) == sorted(want, key=repr)
+    assert len({c for _, _, c, _ in want}) > 61
+
+
+def test_an_id_with_several_texts_ties_their_groups(spark):
+    a, b = "one two three four five six seven eight nine ten", "red green blue black white brown pink grey cyan lime"
+    df = docs_of(spark, [a, a, b, b, a + " x", "lone text"], ids=[5, 9, 9, 3, 7, 9])
+    assert rows_of(near_duplicates(df, 2)) == sorted([(5, 9, 3, False), (9, 9, 3, False), (9, 9, 3, False), (3, 9, 3, True), (7, 10, 3, False), (9, 1, 3, False)], key=repr)
