@@ -7,10 +7,11 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, row_keys, staged
+from .common import ASCII_SPACE, fresh_names, row_keys, staged
 
-#: Documents of one line are dealt over so many parts, so that no line has all its rows in one task.
-SALTS = 64
+#: Documents of one line are dealt over so many parts at least, and over more where a part would have more documents than
+#: this, so that no line has all its rows in one task.
+SALTS, SALT_DOCS = 64, 1 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -29,8 +30,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
 
     Lines are hashed to 128 bits, range-partitioned by (hash, salt of the document) and sorted there by document
     and position; a streaming window passes on the first ``min_docs`` documents of each range and no more, so a
-    line in a third of all documents costs 64 x ``min_docs`` rows beyond the range sort.  Joins by hash carry
-    a few integers a line, and Spark's skew join splits a hot hash.
+    line in a third of all documents costs SALTS x ``min_docs`` rows beyond the range sort.  A hash and salt has about
+    SALT_DOCS documents at most, however many there are.  Joins by hash carry a few integers a line, and Spark's skew
+    join splits a hot hash.
 
     Null text: one empty line.  Empty lines are never dropped where min_chars >= 1.  Null ids: one document of
     that name.  Repeated rows of one id count as one document.  No rows: no rows.
@@ -50,7 +52,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
     )
     seen = per_doc.select("k1", "k2", F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL").select("h.h1", "h.h2", "k1", "k2", "pos")
 
-    salted = seen.withColumn("salt", F.pmod(F.xxhash64("k1"), F.lit(SALTS)).cast("int")).repartitionByRange("h1", "h2", "salt")
+    salts = max(SALTS, -(-per_doc.count() // SALT_DOCS))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("k1"), F.lit(salts)).cast("int")).repartitionByRange("h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy("k1", "k2", "pos")
     first = (
         salted.withColumn("nth", F.dense_rank().over(Window.partitionBy("h1", "h2", "salt").orderBy("k1")))
@@ -85,22 +88,24 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Each row of ``docs`` with what its bitmap keeps of ``text``, and columns n_lines, n_dropped.
-    Rows whose lines all go get an empty text; rows that lose none keep theirs, null as null."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """Each row of ``docs`` with what its bitmap keeps of ``text``, and the counts in columns of the names given, which
+    take the place of columns that ``docs`` has of those names.  Rows whose lines all go get an empty text; rows that lose none keep
+    theirs, null as null."""
+    a, b, keep = fresh_names(docs, "__k1", "__k2", "__keep")
     k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
-    marks = bitmaps.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.struct("n_lines", "n_dropped", "keep_runs").alias("__keep"))
+    marks = bitmaps.select(F.col("k1").alias(a), F.col("k2").alias(b), F.struct("n_lines", "n_dropped", "keep_runs").alias(keep))
     lines = F.split("text", "\n")
-    kept = F.array_join(F.flatten(F.transform(F.col("__keep.keep_runs"), lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
-    joined = docs.join(marks, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left")
-    text = F.when(F.col("__keep.n_dropped") > 0, kept).otherwise(F.col("text"))
+    kept = F.array_join(F.flatten(F.transform(F.col(f"{keep}.keep_runs"), lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
+    joined = docs.join(marks, (k1 == F.col(a)) & (k2 == F.col(b)), "left")
+    text = F.when(F.col(f"{keep}.n_dropped") > 0, kept).otherwise(F.col("text"))
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.col("__keep.n_lines").cast("long").alias("n_lines"),
-        F.col("__keep.n_dropped").cast("long").alias("n_dropped"),
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in (n_lines.lower(), n_dropped.lower())],
+        F.col(f"{keep}.n_lines").cast("long").alias(n_lines),
+        F.col(f"{keep}.n_dropped").cast("long").alias(n_dropped),
     )
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1) -> DataFrame:
-    """``docs`` without the lines that ``keep_bitmaps`` drops."""
-    return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_docs, keep, min_chars))
+def line_dedup(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """``docs`` without the lines that ``keep_bitmaps`` drops; see apply_bitmaps for the columns."""
+    return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_docs, keep, min_chars), n_lines, n_dropped)

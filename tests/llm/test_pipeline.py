@@ -82,3 +82,61 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_small):
         assert sorted(r["text"] for r in ours.collect()) == sorted(r["text"] for r in good)
         leaky = spark.createDataFrame(same(good, i) + same(good[:1], i, item), docs.schema)
         assert sorted(r["text"] for r in P.decontamination_stage(spark, leaky, sf_small).collect()) == sorted(r["text"] for r in good)
+
+
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, __k1 int, __k2 int, __id int, __leak int, n_lines int, n_dropped int, k2 int, component int, kept string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, sf_small):
+    """Rows with nulls in every column, empty and repeated texts, repeated rows and ids, and columns with the operators' own names."""
+    good = [r["text"] for r in spark.read.parquet(f"{sf_small}/documents.parquet").where("n_chars > 400").orderBy("doc_id").limit(6).collect()]
+    extra = tuple(range(777, 777 + 8)) + ("mine",)
+    rows = [(i, t, "en", "s", len(t), *extra) for i, t in enumerate(good)] + [(0, good[0], "en", "s", len(good[0]), *extra)] * 2
+    rows += [(100, None, None, None, None, *([None] * 9)), (None, good[1], "en", None, None, *extra), (None, None, None, None, None, *([None] * 9)), (101, "", "en", "s", 0, *extra), (101, "", "en", "s", 0, *extra), (5, " \n ", "de", "t", 3, *extra)]
+    rows += [(200 + i, f"shared line of twelve\nown words of number {i} here\n", "en", "s", 50, *extra) for i in range(12)]
+    return spark.createDataFrame(rows, WIDE)
+
+
+@pytest.mark.parametrize(("name", "stage"), P.STAGES, ids=[n for n, _ in P.STAGES])
+def test_stages_on_odd_rows_and_clashing_columns(odd, spark, sf_small, name, stage):
+    out = stage(spark, odd, sf_small)
+    got = out.collect()
+    if name == "source mixing":
+        assert len(got) == odd.count() and all(r["taken"] == 0 and r["first_position"] is None for r in got if r["size"] == 0)
+        return
+    assert out.columns == odd.columns
+    before = [tuple(r) for r in odd.collect()]
+    for r in got:
+        if r["lang"] is not None:
+            assert (r["__k1"], r["__id"], r["__leak"], r["n_lines"], r["n_dropped"], r["k2"], r["kept"]) == (777, 779, 780, 781, 782, 783, "mine")
+    if name == "line dedup":
+        assert len(got) == len(before) and all(r["text"] == f"own words of number {r['doc_id'] - 200} here\n" and r["n_chars"] == len(r["text"]) for r in got if (r["doc_id"] or 0) >= 200)
+        assert sum(r["text"] is None for r in got) == 2 and sum(r["text"] == "" for r in got) == 2
+    else:
+        assert all(tuple(r) in before for r in got)
+        if name == "near dedup":
+            # Repeated rows of the id that stays, rows without an id, and texts without words.
+            assert sorted(((r["doc_id"] is None), r["doc_id"]) for r in got if r["doc_id"] in (0, 100, 101, None)) == [(False, 0)] * 3 + [(False, 100)] + [(False, 101)] * 2 + [(True, None)] * 2
+        elif name == "benchmark decontamination":
+            assert sum(not (r["text"] or "").strip() for r in got) == 5
+
+
+@pytest.mark.parametrize(("name", "stage"), P.STAGES, ids=[n for n, _ in P.STAGES])
+def test_stages_on_an_empty_table(odd, spark, sf_small, name, stage):
+    assert stage(spark, odd.limit(0), sf_small).count() == 0
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from alphaspark.llm.common import checkpoint_root
+
+    def session(master):
+        conf = SimpleNamespace(get=lambda *a: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert checkpoint_root(session("local[4]")).startswith("file://") and checkpoint_root(session("local")) and checkpoint_root(session("local[*, 3]"))
+    for master in ("yarn", "spark://host:7077", "k8s://https://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            checkpoint_root(session(master))
