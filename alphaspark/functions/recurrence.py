@@ -94,7 +94,8 @@ def _udf(make: Callable[[], Kernel]) -> Callable[..., Column]:
             last = int(at[-1])
             yield pd.Series(kernel([c.to_numpy(np.float64, na_value=np.nan) for c in columns], at == 1))
 
-    return F.pandas_udf(run, "double")
+    # Not deterministic for Catalyst, since a row's result depends on those before it: filters must stay behind it.
+    return F.pandas_udf(run, "double").asNondeterministic()
 
 
 class Decay:
