@@ -166,27 +166,40 @@ class Scanner:
         return out
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """(start, end) of each run of units with cues and of familiar units next to them."""
+        """(start, end) of each run of units with cues and of familiar units next to them, over up to two blank lines."""
         if not _CUE.search(text):
             return []
         units, out, end = self.units(text), [], -1
         cued = [bool(_CUE.search(text, a, b)) for a, b, _ in units]
+        blank = [not text[a:b].strip() for a, b, _ in units]
         near = lambda k: cued[k] or self.familiar(text[units[k][0] : units[k][1]])
+
+        def reached(i: int, step: int) -> int:
+            """The unit next to unit ``i`` if it belongs to its block, else ``i``."""
+            k = i + step
+            for _ in range(2):
+                if 0 <= k < len(units) and blank[k]:
+                    k += step
+            if not end < k < len(units) or blank[k]:
+                return i
+            return k if near(k) or (k == i + step and units[i][2] and units[k][2] and cued[i]) else i
+
         for i in range(len(units)):
             if i <= end or not cued[i]:
                 continue
             first = last = i
-            while first - 1 > end and (near(first - 1) or (units[first][2] and units[first - 1][2] and cued[first])):
-                first -= 1
-            while last + 1 < len(units) and (near(last + 1) or (units[last][2] and units[last + 1][2] and cued[last])):
-                last += 1
+            while (k := reached(first, -1)) != first:
+                first = k
+            while (k := reached(last, 1)) != last:
+                last = k
             out.append((units[first][0], units[last][1]))
             end = last
         return out
 
     def familiar(self, line: str) -> bool:
         own = [w for w in words_of(line) if len(w) > 2]
-        return len(own) >= 4 and sum(w in self.vocabulary for w in own) >= FAMILIAR * len(own)
+        # The few words that wrapping leaves on a line must all be.
+        return bool(own) and sum(w in self.vocabulary for w in own) >= (FAMILIAR * len(own) if len(own) >= 4 else len(own))
 
     def best(self, block: str) -> tuple | None:
         """(name, plain size, primed size, second name, its size, share, missing, added) of the first stretch, or None."""
@@ -206,7 +219,8 @@ class Scanner:
             if hit:
                 first, last, *verdict = hit
                 found.append((spans[first][0], self.end(block, spans[last][1]), *verdict))
-                todo += [(low, first), (last + 1, high)]
+                # "A OR B" names two.
+                todo += [(low, first), (last + 1 + (own[last + 1 : last + 2] in (["or"], ["and"])), high)]
         if len(self.seen) >= 1 << 16:
             self.seen.clear()
         self.seen[block] = found = sorted(found)

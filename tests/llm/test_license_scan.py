@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import json
+import textwrap
 
 import pytest
+import zstandard
 
-from alphaspark.llm.license_scan import TEMPLATES, Scanner, scan_licenses
+from alphaspark.llm.license_scan import TEMPLATES, Scanner, scan_licenses, words_of
 
 from .helpers import docs_of, rows_of
 
@@ -90,3 +92,40 @@ def test_distinguishing_words_decide(text, names):
 @pytest.mark.parametrize("name", sorted(TEMPLATES))
 def test_every_notice_is_its_own(name):
     assert {n for n, _ in found(TEMPLATES[name])} == {name}
+
+
+def paragraphs(name: str, width: int) -> str:
+    return "\n\n".join(textwrap.fill(p, width) for p in ["Copyright (c) 2024 Jane Doe", *TEMPLATES[name].split("\n")[1:]])
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "LGPL-2.1", "EPL-2.0", "Zlib", "Apache-2.0"])
+@pytest.mark.parametrize("width", [10**6, 78, 60])
+def test_whole_texts_however_they_are_wrapped(name, width):
+    """One stretch over blank lines and line ends, with all or nearly all words of the text."""
+    text = paragraphs(name, width)
+    for shown in (text, text.replace("\n\n", "\n"), text.replace("\n\n", " ")):
+        hits = found(f"Plain prose before it all.\n\n{shown}\n\nPlain prose behind it all, about walks and weather.")
+        assert [n for n, _ in hits] == [name] and len(words_of(hits[0][1])) >= 0.85 * len(words_of("\n".join(TEMPLATES[name].split("\n")[1:])))
+
+
+def test_both_licenses_of_an_expression():
+    assert [n for n, _ in found("SPDX-License-Identifier: MIT OR Apache-2.0")] == ["MIT", "Apache-2.0"]
+
+
+def test_the_ranking_against_every_template(spark, sf_small):
+    """Sizes of each stretch found in the corpus, compressed with every template by calls of one's own."""
+    docs = spark.read.parquet(f"{sf_small.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    own = docs_of(spark, [paragraphs(n, 78) for n in sorted(TEMPLATES)], ids=list(range(-len(TEMPLATES), 0)))
+    hits = scan_licenses(docs.select("doc_id", "text").union(own.select("doc_id", "text"))).collect()
+    sizes: dict[str, dict[str, int]] = {}
+    for r in hits:
+        text = r["block"]
+        if text not in sizes:
+            plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False).compress(text.encode())
+            dictionary = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[text] = {n: len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, dict_data=dictionary(t)).compress(text.encode())) for n, t in TEMPLATES.items()} | {"": len(plain)}
+        every = sizes[text]
+        others = {n: s for n, s in every.items() if n not in ("", r["license"])}
+        assert (r["plain_size"], r["primed_size"], r["runner_up_size"]) == (every[""], every[r["license"]], min(others.values()))
+        assert every[r["license"]] <= min(others.values()) + 4 and r["primed_size"] < r["plain_size"]
+    assert len(sizes) > 20
