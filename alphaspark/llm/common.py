@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import checkpoint_root, work_folder  # noqa: F401  checkpoint_root is used by tests and stages
+
 #: ASCII white space, 0x20 and 0x09-0x0D: what bytes.split() splits at.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 NULL_ID = -(1 << 63)
 U64 = np.uint64
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster.  Where none is set, as in tests, one of our own if all of Spark runs in this process; on a
-    cluster executors can't read each other's folders, so there it raises."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return root or f"file://{tempfile.gettempdir()}/alphaspark-staged"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a cut in the lineage
     that outlives executors.  Two readers of the result do the work above it once."""
@@ -39,16 +29,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder for work tables in the shared folder.  Results are lazy, so it stays until the driver's JVM ends."""
-    folder = f"{checkpoint_root(spark)}/alphaspark-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return folder
-
-
 def row_keys(doc_id: Column, text: Column) -> list[Column]:
     """Two longs, never null, that name a row: its id and a hash of id and text.
     Repeated rows share them, and so do all results that depend on the row's contents."""
