@@ -96,7 +96,8 @@ class Store:
         stream = self._fs.create(draft, True)
         stream.write(json.dumps({"schema": schema.json(), "parts": parts}).encode())
         stream.close()
-        self._fs.rename(draft, done)
+        if not self._fs.rename(draft, done):
+            raise RuntimeError(f"version {version} of table {name} couldn't be made current")
 
     def _add(self, name: str, version: str, df: DataFrame, label: str = "") -> dict[str, list[str]]:
         """Writes rows into folders of a version, and returns them by part: the one evaluation of ``df``."""
