@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from alphaspark.llm.common import Prefix, WordHasher
-from alphaspark.llm.substring_dedup import merged, segments, substring_dedup
+from alphaspark.llm.substring_dedup import common, merged, segments, substring_dedup
 
 from .helpers import docs_of, rows_of
 
@@ -73,3 +73,30 @@ def test_odd_rows(spark):
 
 def test_merged():
     assert merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
+
+
+def test_sides_in_common_by_bisection():
+    rng = np.random.default_rng(2)
+    a = rng.integers(1, 1 << 40, (200, 23))
+    b, want = a.copy(), rng.integers(0, 24, 200)
+    for i, n in enumerate(want):
+        b[i, n:] = rng.integers(1 << 41, 1 << 42, 23 - n)
+        if i % 3 == 0:
+            a[i, n:] = b[i, n:] = 0
+    assert common(a, b).tolist() == want.tolist() and len(common(a[:0], b[:0])) == 0
+
+
+def test_repeats_that_the_pivot_lacks(spark):
+    """One seed in many contexts: some share words with the most frequent one, others only with each other, on either side."""
+    rng = random.Random(9)
+    w = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    seed, lefts, rights = w(14), [w(30) for _ in range(4)], [w(30) for _ in range(4)]
+    texts = []
+    for _ in range(70):
+        a, b = rng.choice(lefts), rng.choice(rights)
+        texts.append(" ".join([*w(rng.randrange(5)), *(w(3) if rng.random() < 0.3 else []), *a[rng.randrange(30) :], *seed, *b[: rng.randrange(31)], *w(rng.randrange(20))]))
+    texts += [" ".join([*lefts[0], *seed, *rights[0]])] * 5
+    got = substring_dedup(docs_of(spark, texts))
+    want = brute(texts, 35)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    assert 10 < sum(n > 0 for _, _, n, _ in want) < len(texts)
